@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import seen_before, term_stats, together, top_n
+from lexigrid.llm import encode, leaks, mojibake, same_look, seen_before, term_stats, together, top_n
 from lexigrid.sources.tables import table
 
 
@@ -48,7 +48,48 @@ def p6_ranked(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("grp").alias("phrasec"), F.col("score").alias("countpair"), F.col("tie").alias("phrasee"), F.col("id").alias("row_id"), F.col("place").cast("bigint").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rate, p3_found, p3_lift, p5_found, p5_terms, p6_found, p6_ranked)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_look.look_alikes({"n_gram.words": (table(spark, d, "n_gram"), "words", "row_id"), "phrase_combinete.phrasec": (table(spark, d, "phrase_combinete"), "phrasec", "row_id")})
+
+
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of n_gram whose text is stored otherwise than in the consistent form."""
+    return same_look.normalised(table(spark, d, "n_gram"), "words", "row_id").where("text <> form").select(F.col("id").alias("row_id"), "text", "form")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encoded(table(spark, d, "documents"), "text", "doc_id")
+
+
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by whether decoding their ids gives their text again."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ids = encode.encoded(docs, "text", "doc_id")
+    back = encode.decoded(ids).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").groupBy((F.coalesce("text", F.lit("")) == F.col("back")).alias("same")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), 12, 0)
+
+
+def p9_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 20 words of an item with up to two words edited."""
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), 20, 2)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repaired(table(spark, d, "documents"), found_only=True).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repaired(table(spark, d, "documents"), found_only=True).select("doc_id", "layers", "restored")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_rate, p3_found, p3_lift, p5_found, p5_terms, p6_found, p6_ranked, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_edited, p10_found, p10_restored)
+}
 
 _PAIRS = """
 with r as (select phrasec, phrasee, countpair as w from phrase_combinete where phrasec is not null and phrasee is not null and countpair is not null),
@@ -74,4 +115,10 @@ SQL = {
     "p5_terms": _TERMS + "select term, occurrences, records, case when few and many then 'both' when few then 'rare' when many then 'common' end as mark from k",
     "p6_found": f"select row_id from ({_RANKED})",
     "p6_ranked": _RANKED,
+    "p9_found": """
+with w as (select item_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
+g as (select id, array_to_string(w[k : k + 11], ' ') as g from w, range(1, len(w) - 10) t(k)),
+dw as (select doc_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+dg as (select id, array_to_string(w[k : k + 11], ' ') as g from dw, range(1, len(w) - 10) t(k))
+select distinct dg.id as doc_id, g.id as item_id from dg join g using (g)""",
 }
