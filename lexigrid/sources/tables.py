@@ -48,11 +48,3 @@ def csv_to_parquet(spark: SparkSession, src: str, dst: str, schema: str, sep: st
     spark.read.schema(schema).option("sep", sep).csv(src).write.mode("overwrite").parquet(dst)
     return spark.read.parquet(dst)
 
-
-def redo_dir(spark: SparkSession, name: str) -> str:
-    """A folder for written intermediates: below spark.checkpoint.dir, which all executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
