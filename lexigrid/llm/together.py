@@ -79,7 +79,7 @@ def pair_counts(df: DataFrame, left: str, right: str, weight: str, least: int =
         t = src.groupBy(k).agg(F.sum("weight").alias(f"total_{k}"), F.count(F.lit(1)).alias("n"))
         top = t.where(F.col("n") * HEAVY >= total)
         heavy = top.select(F.col(k).alias(f"heavy_{k}"), F.col(f"total_{k}").alias(f"heavy_total_{k}"), (F.row_number().over(W.orderBy(k)) - 1).alias(f"code_{k}"))
-        return t.drop("n"), heavy
+        return t.where(F.col("n") * HEAVY < total), heavy
 
     (totals_a, heavy_a), (totals_b, heavy_b) = side("a"), side("b")
     coded = src.join(F.broadcast(heavy_a), F.col("a") == F.col("heavy_a"), "left").join(F.broadcast(heavy_b), F.col("b") == F.col("heavy_b"), "left")
