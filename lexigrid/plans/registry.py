@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexigrid.plans import core_queries, corpus_queries, lm_queries
+from lexigrid.plans import core_queries, corpus_queries, lm_queries, translation_queries
 
-MODULES = [core_queries, lm_queries, corpus_queries]
+MODULES = [core_queries, lm_queries, corpus_queries, translation_queries]
 
 
 def queries() -> dict:
