@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,20 +121,19 @@ def best_moves(bi: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     Per word and predecessor the k counts N(v, class) come as one array, so the work is k times the bigrams, without a product of words and classes.
     """
     h = lambda x: F.when(x > 0, x * F.ln(x.cast("double"))).otherwise(0.0)
-    cb, sizes = class_bigrams(bi, classes), class_sizes(classes)
-    row = cb.groupBy("v").agg(*(F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(1, k + 1)))
+    per = lambda n: F.array(*(F.sum(F.when(F.col("class") == c, F.col(n)).otherwise(0)) for c in range(1, k + 1)))
+    sizes = class_sizes(classes).agg(per("n").alias("s")).scalar()
+    row = class_bigrams(bi, classes).groupBy("v").agg(per("n").alias("ns"))
     j = bi.join(row, "v").join(classes.select(F.col("word").alias("w"), F.col("class").alias("own"), "freq"), "w")
-    into = [F.sum(h(F.col(f"n{c}") + F.col("n")) - h(F.col(f"n{c}"))).alias(f"g{c}") for c in range(1, k + 1)]
-    own_n = reduce(lambda a, c: F.when(F.col("own") == c, F.col(f"n{c}")).otherwise(a), range(1, k + 1), F.lit(0))
-    w = j.groupBy("w", "own", "freq").agg(F.sum(h(own_n) - h(own_n - F.col("n"))).alias("out"), *into)
-    total = sizes.agg(*(F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"s{c}") for c in range(1, k + 1)))
-    s = {c: total.select(f"s{c}").scalar() for c in range(1, k + 1)}
-    own_s = reduce(lambda a, c: F.when(F.col("own") == c, s[c]).otherwise(a), range(1, k + 1), F.lit(0))
-    keep = -F.col("out") + h(own_s) - h(own_s - F.col("freq"))
-    gains = [F.when(F.col("own") == c, 0.0).otherwise(F.round(F.col(f"g{c}") + keep - h(s[c] + F.col("freq")) + h(s[c]), 6)) for c in range(1, k + 1)]
-    best = F.greatest(*gains)
-    at = reduce(lambda a, c: F.when(gains[c - 1] == best, c).otherwise(a), range(k, 0, -1), F.lit(0))
-    return w.select(F.col("w").alias("word"), F.col("own").alias("class"), at.cast("bigint").alias("best"), best.alias("gain"))
+    own = F.get("ns", (F.col("own") - 1).cast("int"))
+    each = j.select("w", "own", "freq", (h(own) - h(own - F.col("n"))).alias("out"), F.transform("ns", lambda x: h(x + F.col("n")) - h(x)).alias("into"))
+    w = each.groupBy("w", "own", "freq").agg(F.sum("out").alias("out"), F.array(*(F.sum(F.get("into", F.lit(c))) for c in range(k))).alias("into"))
+    w = w.withColumn("s", sizes)
+    mine = F.get("s", (F.col("own") - 1).cast("int"))
+    w = w.withColumn("keep", h(mine) - h(mine - F.col("freq")) - F.col("out"))
+    gain = lambda x, i: F.when(i + 1 == F.col("own"), 0.0).otherwise(F.round(x + F.col("keep") - h(F.get("s", i) + F.col("freq")) + h(F.get("s", i)), 6))
+    w = w.withColumn("gains", F.transform("into", gain)).withColumn("gain", F.array_max("gains"))
+    return w.select(F.col("w").alias("word"), F.col("own").alias("class"), F.array_position("gains", F.col("gain")).alias("best"), "gain")
 
 
 def exchanged(bi: DataFrame, classes: DataFrame, k: int, rounds: int = 2) -> DataFrame:

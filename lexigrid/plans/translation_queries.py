@@ -400,7 +400,7 @@ x as (select h.w, own, freq, k.class, sum(case when coalesce(cb.n, 0) + h.n > 0
   sum(case when cb.n > 0 then cb.n * ln(cb.n) else 0 end - case when cb.n - h.n > 0 then (cb.n - h.n) * ln(cb.n - h.n) else 0 end) as outg from h cross join k left join cb on cb.v = h.v and cb.class = k.class group by 1, 2, 3, 4),
 y as (select x.w, x.own, x.class, case when x.class = x.own then 0.0 else round(x.g - o.outg + so.n * ln(so.n) - case when so.n > x.freq then (so.n - x.freq) * ln(so.n - x.freq) else 0 end - (coalesce(sc.n, 0) + x.freq) * ln(coalesce(sc.n, 0) + x.freq) + case when sc.n > 0 then sc.n * ln(sc.n) else 0 end, 6) end as gain
   from x join x o on o.w = x.w and o.class = x.own join cs so on so.class = x.own left join cs sc on sc.class = x.class)
-select w as word, own as class, first(class order by gain desc, class) as best, max(gain) as gain from y group by 1, 2""")
+select w as word, own as class, first(class order by gain desc, class) as best, max(gain) + 0 as gain from y group by 1, 2""")
 def cls_best_move(spark, d):
     return A.best_moves(*_classes(spark, d), 8)
 
