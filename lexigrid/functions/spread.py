@@ -1,0 +1,20 @@
+"""Parallelism of small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a scan with fewer (a few small files) is dealt out once, a larger one is left as it is, without a shuffle, and so is
+    anything behind a shuffle, whose partitions aren't known before it runs.
+
+    For narrow kernels that take far longer than their input takes to move. Rows and their contents stay the same.
+    """
+    try:
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
+        cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except Exception:  # no access to partitions in this kind of session
+        return df
+    return df if parts >= cores else df.repartition(cores)

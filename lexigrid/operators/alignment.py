@@ -40,7 +40,7 @@ def ibm1(bitext: DataFrame, rounds: int, cut_every: int = 5) -> DataFrame:
     co, t = cooccurring(bitext), uniform_start(bitext)
     for k in range(1, rounds + 1):
         t = ibm1_step(co, t)
-        if k % cut_every == 0:
+        if k % cut_every == 0 and k < rounds:
             t = written(t, "ibm1")
     return t
 

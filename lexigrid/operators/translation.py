@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.functions.spread import spread
 from lexigrid.operators import kernels as K
 
 NULL = "<NULL>"
@@ -34,7 +35,7 @@ def phrases(bitext: DataFrame, max_c: int = 5, max_e: int = 5, extend: bool = Tr
                 kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), _COLUMNS)], names=[n for n, _ in _COLUMNS])
 
-    return bitext.select("row_id", "src", "tgt", "links").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _COLUMNS))
+    return spread(bitext.select("row_id", "src", "tgt", "links")).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _COLUMNS))
 
 
 def null_phrases(bitext: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def null_phrases(bitext: DataFrame) -> DataFrame:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.string()) for x in c[1:])], names=["row_id", "src", "tgt", "align"])
 
-    return bitext.select("row_id", "src", "tgt", "links").mapInArrow(run, "row_id bigint, src string, tgt string, align string")
+    return spread(bitext.select("row_id", "src", "tgt", "links")).mapInArrow(run, "row_id bigint, src string, tgt string, align string")
 
 
 def rule_occurrences(bitext: DataFrame, **limits) -> DataFrame:
@@ -63,7 +64,7 @@ def rule_occurrences(bitext: DataFrame, **limits) -> DataFrame:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.string()) for x in c[1:])], names=["row_id", "src", "tgt", "align"])
 
-    return bitext.select("row_id", "src", "tgt", "links").mapInArrow(run, "row_id bigint, src string, tgt string, align string")
+    return spread(bitext.select("row_id", "src", "tgt", "links")).mapInArrow(run, "row_id bigint, src string, tgt string, align string")
 
 
 def symmetrised(both: DataFrame, diagonal: bool = True, final: str = "and") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.functions.spread import spread
 from lexigrid.operators import corpus as C
 from lexigrid.operators import joins as J
 from lexigrid.sources.tables import table
@@ -32,7 +33,7 @@ _FREQ = f"select word, count(*) as freq from (select unnest({_TOK}) as word from
 
 def bitext(spark: SparkSession, d: str) -> DataFrame:
     """Phrase pairs as aligned sentences: row_id, src, tgt, links."""
-    p = table(spark, d, "phrase_combinete").where("phrasec is not null and phrasee is not null and alignstr is not null")
+    p = spread(table(spark, d, "phrase_combinete").where("phrasec is not null and phrasee is not null and alignstr is not null").select("row_id", "phrasec", "phrasee", "alignstr"))
     src, tgt = T.terms("phrasec"), T.terms("phrasee")
     return p.select("row_id", src.alias("src"), tgt.alias("tgt"), T.links("alignstr", F.size(src), F.size(tgt)).alias("links"))
 

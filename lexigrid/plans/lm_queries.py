@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.functions.written import written
 from lexigrid.operators import language_model as L
 from lexigrid.sources.tables import table
 
@@ -18,6 +19,11 @@ def counts(spark: SparkSession, d: str, high: int = N, low: int = 1) -> DataFram
     return L.ngram_counts(L.sentences(table(spark, d, "documents")), high, low)
 
 
+def kept(spark: SparkSession, d: str, high: int) -> DataFrame:
+    """The counts as a table, for models that read them once an order and more."""
+    return written(counts(spark, d, high), "ngrams")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -27,8 +33,8 @@ def lm_ngram(n, spark, d):
 
 
 def lm_gsb(n, spark, d):
-    c = counts(spark, d, n)
-    return _rounded(L.backoff_unigrams(c) if n == 1 else L.backoff_ngrams(c, N).where(F.col("n") == n))
+    c = counts(spark, d, n, n)
+    return _rounded(L.backoff_unigrams(c) if n == 1 else L.backoff_ngrams(c, N))
 
 
 def lm_gt(n, variant, spark, d):
@@ -36,12 +42,12 @@ def lm_gt(n, variant, spark, d):
 
 
 def lm_kn(n, modified, variant, spark, d):
-    p = L.interpolated(counts(spark, d, n), n, modified, variant)[n]
+    p = L.interpolated(kept(spark, d, n), n, modified, variant)[n]
     return _rounded(p.select("gram", F.when(F.col("p") > 0, F.log10("p")).alias("logp")))
 
 
 def lm_table(modified, variant, spark, d):
-    return _rounded(L.kneser_ney(counts(spark, d, 3), 3, modified, variant))
+    return _rounded(L.kneser_ney(kept(spark, d, 3), 3, modified, variant))
 
 
 def lm_type_counts(spark, d):
@@ -110,18 +116,18 @@ def _unk(spark, d):
 
 
 def ppl_gsb(spark, d):
-    t = L.stupid_backoff(counts(spark, d, 3), 3, "standard")
+    t = written(L.stupid_backoff(kept(spark, d, 3), 3, "standard"), "gsb")
     unk = t.where("n = 1 and gram = 'unk'").select(F.col("logp").alias("unk"))
     return _rounded(L.perplexity(L.stupid_score(L.events(_held_out(spark, d), 3), t, 3, unk)))
 
 
 def ppl_gt(spark, d):
-    c = counts(spark, d, 3)
+    c = kept(spark, d, 3)
     return _rounded(L.perplexity(L.turing_score(L.events(_held_out(spark, d), 3), L.good_turing(c, "standard"), 3, L.turing_fit(c, "standard"))))
 
 
 def _ppl_kn(modified, spark, d):
-    t = L.kneser_ney(counts(spark, d, 3), 3, modified, "standard").where("gram <> 'unk' or n > 1")
+    t = written(L.kneser_ney(kept(spark, d, 3), 3, modified, "standard").where("gram <> 'unk' or n > 1"), "kn")
     return _rounded(L.perplexity(L.backed_off(L.events(_held_out(spark, d), 3), t, 3, _unk(spark, d))))
 
 

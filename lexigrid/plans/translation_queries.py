@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.functions.written import written
 from lexigrid.operators import alignment as A
 from lexigrid.operators import corpus as C
 from lexigrid.operators import translation as X
@@ -58,6 +59,11 @@ def _pairs(spark, d, oriented: bool = True):
     return X.best_align(X.count_by_align(X.phrases(bitext(spark, d)), oriented), oriented)
 
 
+def _kept(spark, d, oriented: bool = False):
+    """The pairs as a table, for scores that read them several times."""
+    return written(_pairs(spark, d, oriented), "pairs")
+
+
 def _lex(spark, d):
     w = X.word_pairs(bitext(spark, d))
     return X.conditional(w, "s"), X.conditional(w, "t")
@@ -157,7 +163,7 @@ lr as (select src, tgt, product(w) as lex_rev from (select src, tgt, k, case whe
 
 @query(_P + _LW + "select src, tgt, round(lex, 6) as lex, round(lex_rev, 6) as lex_rev from lw join lr using (src, tgt)")
 def phrase_lexweight(spark, d):
-    p, (a, b) = _pairs(spark, d, False), _lex(spark, d)
+    p, (a, b) = _kept(spark, d), _lex(spark, d)
     return _round(X.lexical_weight(p, a).join(X.lexical_weight(p, b, True, "lex_rev"), ["src", "tgt"]))
 
 
@@ -166,12 +172,12 @@ _PT = "select src, tgt, round(c / te, 6) as phi_rev, round(lex_rev, 6) as lex_re
 
 @query(_P + _LW + _PT)
 def phrase_table(spark, d):
-    return _round(X.phrase_table(_pairs(spark, d, False), *_lex(spark, d)))
+    return _round(X.phrase_table(_kept(spark, d), *_lex(spark, d)))
 
 
 @query(_P + _LW + f", pt as ({_PT}), rp as ({_RP}) select src, tgt, phi as f0, lex as f1, phi_rev as f2, lex_rev as f3, m, s, o, t, n, p from pt join rp using (src, tgt)")
 def phrase_reorder_join(spark, d):
-    p = _pairs(spark, d)
+    p = _kept(spark, d, True)
     return _round(X.reorder_joined(X.phrase_table(p.select("src", "tgt", "align", "c"), *_lex(spark, d)), X.reorder_probs(p)))
 
 
@@ -181,7 +187,7 @@ st as (select src, tgt, c, case when c > 1000 then c else (c + 1) * pow((c + 1)
 t1 as (select src, case when sum(c) > 1000 then sum(c)::double else sum(star) + sum(c) / (select every from h) * (select exp(b) from h) end as t from st group by 1), t2 as (select tgt, case when sum(c) > 1000 then sum(c)::double else sum(star) + sum(c) / (select every from h) * (select exp(b) from h) end as t from st group by 1)
 select src, tgt, round(star / t1.t, 6) as phi, round(star / t2.t, 6) as phi_rev from st join t1 using (src) join t2 using (tgt)""")
 def phrase_gt(spark, d):
-    return _round(X.turing_scores(_pairs(spark, d, False)))
+    return _round(X.turing_scores(_kept(spark, d)))
 
 
 _DS = """, ks as (select greatest(count(*) filter (c = 1), 1)::double as k1, greatest(count(*) filter (c = 2), 1)::double as k2, greatest(count(*) filter (c = 3), 1)::double as k3, greatest(count(*) filter (c = 4), 1)::double as k4, count(*)::double as every from ba),
@@ -191,13 +197,13 @@ ds as (select *, k1 / (k1 + 2 * k2) as y, 1 - 2 * y * k2 / k1 as d1, 2 - 3 * y *
 
 @query(_P + _DS + "select src, tgt, round((c - y) / tc + y * dc / tc * de / every, 6) as phi, round((c - y) / te + y * de / te * dc / every, 6) as phi_rev from wt, ds")
 def phrase_kn(spark, d):
-    return _round(X.kneser_ney_scores(_pairs(spark, d, False)))
+    return _round(X.kneser_ney_scores(_kept(spark, d)))
 
 
 @query(_P + _DS + """select src, tgt, round((c - case c when 1 then d1 when 2 then d2 else d3 end) / tc + (d1 * c1 + d2 * c2 + d3 * c3) / tc * de / every, 6) + 0 as phi,
 round((c - case c when 1 then d1 when 2 then d2 else d3 end) / te + (d1 * e1 + d2 * e2 + d3 * e3) / te * dc / every, 6) + 0 as phi_rev from wt, ds""")
 def phrase_mkn(spark, d):
-    return _round(X.kneser_ney_scores(_pairs(spark, d, False), True))
+    return _round(X.kneser_ney_scores(_kept(spark, d), True))
 
 
 def _rules(spark, d):
