@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.functions.spread import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts a text before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -177,7 +179,7 @@ def transducer(path: str = VOCABULARY) -> BytePairTransducer:
 def encoded(df: DataFrame, text: str, doc_id: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids): one row for each row of ``df``, repeated ones and null ids included; ids is the empty list for null and empty texts. Special tokens' strings
     are ordinary text. Whole texts of any length are encoded, in one narrow stage. ``vocabulary`` must be readable on every machine."""
-    src = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    src = spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(vocabulary)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.functions.spread import spread
+
 # Frequencies of the Russian letters, in a hundred thousand.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10970, 8450, 8010, 7350, 6700, 6260, 5470, 4730, 4540, 4400, 3490, 3210, 2980, 2810, 2620, 2010, 1900, 1740, 1700, 1650, 1590, 1440, 1210, 970, 940, 730, 640, 480, 360, 320, 260, 40, 40)))
 # Characters of rightly decoded European text.
@@ -337,5 +339,5 @@ def repaired(df: DataFrame, text: str = "text", doc_id: str = "doc_id", found_on
     The text is re-encoded under each candidate encoding, strictly decoded as it was meant, stretch by stretch, and again for nested layers, as long as the cost drops.
     Whole texts, one narrow stage, other columns aren't read.
     """
-    src = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    src = spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     return src.mapInArrow(_repair(found_only), "doc_id bigint, garbled boolean, restored string, layers int")
