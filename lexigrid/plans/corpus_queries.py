@@ -297,3 +297,33 @@ def join_inner_history(spark, d):
 def join_anti_nobow(spark, d):
     g = table(spark, d, "n_gram").where("words is not null").select("words").distinct()
     return C.except_keys(g, table(spark, d, "ngram_join"), "words")
+
+
+@query("select words, num, regexp_extract(words, '^[^ ]+( [^ ]+)?') as key from n_gram where words is not null")
+def partition_by_history(spark, d):
+    """n-grams laid out by their first two words, sorted within partitions: grams of a history lie together."""
+    g = table(spark, d, "n_gram").where("words is not null").select("words", "num", F.regexp_extract("words", "^[^ ]+( [^ ]+)?", 0).alias("key"))
+    return g.repartition("key").sortWithinPartitions("words")
+
+
+@query("select row_id, regexp_extract_all(line, 'w[0-9]+_NNS? w[0-9]+_VB[A-Z]*')[1] as hit from (select row_id, list_aggregate(list_transform(string_split(postaginfo, ' '), lambda x, i: 'w' || (i - 1) || '_' || x), 'string_agg', ' ') as line from phrase_combinete where postaginfo is not null) where regexp_matches(line, 'w[0-9]+_NNS? w[0-9]+_VB[A-Z]*')")
+def token_regex(spark, d):
+    """First noun that a verb follows, by a pattern over word_tag tokens."""
+    tags = T.terms("postaginfo")
+    p = table(spark, d, "phrase_combinete").where("postaginfo is not null")
+    line = F.array_join(F.transform(tags, lambda x, i: F.concat(F.lit("w"), i.cast("string"), F.lit("_"), x)), " ")
+    return p.select("row_id", F.regexp_extract(line, r"w[0-9]+_NNS? w[0-9]+_VB[A-Z]*", 0).alias("hit")).where("hit <> ''")
+
+
+@query(None)
+def classify_language(spark, d):
+    """Documents with the language that a classifier over hashed characters gives them, learned on all labelled ones."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, StringIndexer
+
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "lang", F.split("text", "").alias("chars"))
+    x = HashingTF(inputCol="chars", outputCol="features", numFeatures=1024).transform(docs)
+    index = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc").fit(x.where("lang is not null"))
+    model = LogisticRegression(maxIter=20).fit(index.transform(x.where("lang is not null")))
+    names = F.array(*(F.lit(n) for n in index.labels))
+    return model.transform(x).select("doc_id", "lang", F.get(names, F.col("prediction").cast("int")).alias("predicted"))
