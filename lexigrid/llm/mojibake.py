@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -174,6 +175,18 @@ def round_trip(s: str, wrong: str, right: str, open_start: bool = False, open_en
     return None
 
 
+_short_cost, _short_trip = lru_cache(1 << 17)(cost), lru_cache(1 << 17)(round_trip)
+
+
+def known_cost(s: str, before: str, after: str) -> float:
+    return _short_cost(s, before, after) if len(s) < 4 else cost(s, before, after)
+
+
+def known_trip(s: str, wrong: str, right: str, open_start: bool, open_end: bool) -> str | None:
+    """round_trip, of which the results for short runs are kept."""
+    return (_short_trip if len(s) < 4 else round_trip)(s, wrong, right, open_start, open_end)
+
+
 _run = re.compile(r"[^\x00-\x7f�]+")
 _calm = frozenset(PLAIN_SIGNS + PLAIN_LETTERS + PLAIN_LETTERS.upper() + "".join(RUSSIAN) + "".join(RUSSIAN).upper())
 # Places where calm characters stand as they don't in rightly decoded text: capitals within words, signs right after letters, runs of Cyrillic capitals.
@@ -266,9 +279,9 @@ def _same_width(text: str, runs: list, now: list[float], chars: frozenset) -> tu
         gains: list[float] = []
         for (a, b), c in zip(runs, now):
             before, after = text[a - 1] if a else " ", text[b] if b < len(text) else " "
-            t = round_trip(text[a:b], wrong, right, before == "�", after == "�")
+            t = known_trip(text[a:b], wrong, right, before == "�", after == "�")
             turned.append(t)
-            gains.append(-3.0 if t is None else c - cost(t, before, after))
+            gains.append(-3.0 if t is None else c - known_cost(t, before, after))
         taken = [x for x in _stretches(gains, gaps) if _enough(runs, turned, x, wrong, right)]
         gain = sum(x[2] for x in taken)
         if gain > best_gain:
@@ -298,7 +311,7 @@ def repair_once(text: str) -> tuple[str, float]:
     if not suspicious(text):
         return text, 0.0
     runs = [(m.start(), m.end()) for m in _run.finditer(text)]
-    now = [cost(text[a:b], text[a - 1] if a else " ", text[b] if b < len(text) else " ") for a, b in runs]
+    now = [known_cost(text[a:b], text[a - 1] if a else " ", text[b] if b < len(text) else " ") for a, b in runs]
     out, gain = _multi_byte(text, runs, now)
     if gain <= 0:
         out, gain = _same_width(text, runs, now, frozenset(c for c in text if c >= "\x80"))
