@@ -31,6 +31,12 @@ def p3_lift(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("a").alias("phrasec"), F.col("b").alias("phrasee"), "s", "total_a", "total_b", F.round("lift", 6).alias("lift"))
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair, however seldom; p3_lift has those with a sum of at least 30."""
+    p = together.lift(table(spark, d, "phrase_combinete"), "phrasec", "phrasee", "countpair")
+    return p.select(F.col("a").alias("phrasec"), F.col("b").alias("phrasee"), "s", "total_a", "total_b", F.round("lift", 6).alias("lift"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return term_stats.marked(table(spark, d, "n_gram"), "words", "num").where("mark is not null").select("term")
 
@@ -88,7 +94,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_rate, p3_found, p3_lift, p5_found, p5_terms, p6_found, p6_ranked, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_edited, p10_found, p10_restored)
+    for f in (p2_found, p2_rate, p3_found, p3_lift, p3_pairs, p5_found, p5_terms, p6_found, p6_ranked, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_edited, p10_found, p10_restored)
 }
 
 _PAIRS = """
@@ -97,6 +103,12 @@ s as (select phrasec, phrasee, cast(sum(w) as bigint) as s from r group by 1, 2)
 c as (select phrasec, cast(sum(w) as bigint) as total_a from r group by 1), e as (select phrasee, cast(sum(w) as bigint) as total_b from r group by 1),
 p as (select s.*, total_a, total_b, (select cast(sum(w) as hugeint) from r) as t from s join c using (phrasec) join e using (phrasee) where s >= 30)
 """
+_ALL_PAIRS = """
+with r as (select phrasec, phrasee, countpair as w from phrase_combinete where phrasec is not null and phrasee is not null and countpair is not null)
+select phrasec, phrasee, s, total_a, total_b, round(s::double * (select sum(w) from r)::double / total_a / total_b, 6) as lift
+from (select phrasec, phrasee, cast(sum(w) as bigint) as s from r group by 1, 2)
+join (select phrasec, cast(sum(w) as bigint) as total_a from r group by 1) using (phrasec) join (select phrasee, cast(sum(w) as bigint) as total_b from r group by 1) using (phrasee)
+"""
 _TERMS = """
 with r as (select row_id, num, unnest(string_split(words, ' ')) as term from n_gram where words is not null and num is not null),
 t as (select term, cast(sum(num) as bigint) as occurrences, count(distinct row_id) as records from r group by 1),
@@ -111,6 +123,7 @@ SQL = {
     "p2_found": """select rec_id from (select n.*, row_number() over (partition by n.id order by rec_id) as k, s.id as old from ngram n left join ngram_seen s on n.id = s.id where n.id is not null) where k > 1 or old is not null""",
     "p3_found": _PAIRS + "select phrasec, phrasee from p where s * t >= 20 * total_a::hugeint * total_b",
     "p3_lift": _PAIRS + "select phrasec, phrasee, s, total_a, total_b, round(s::double * t::double / total_a / total_b, 6) as lift from p",
+    "p3_pairs": _ALL_PAIRS,
     "p5_found": _TERMS + "select term from k where few or many",
     "p5_terms": _TERMS + "select term, occurrences, records, case when few and many then 'both' when few then 'rare' when many then 'common' end as mark from k",
     "p6_found": f"select row_id from ({_RANKED})",

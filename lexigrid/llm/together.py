@@ -34,7 +34,7 @@ def dense_counts(a: np.ndarray, b: np.ndarray, weight: np.ndarray, size: int = H
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns a, b, weight, code_a, code_b to partial sums (code_a, a, code_b, b, s); a text stands only where its code is null."""
-    names, dense = ["code_a", "a", "code_b", "b", "s"], np.zeros((HEAVY, HEAVY), dtype=np.int64)
+    names, dense, met = ["code_a", "a", "code_b", "b", "s"], np.zeros((HEAVY, HEAVY), dtype=np.int64), np.zeros((HEAVY, HEAVY), dtype=bool)
 
     def grouped(t: pa.Table, keys: list[str]) -> pa.RecordBatch:
         g = t.group_by(keys).aggregate([("weight", "sum")])
@@ -49,6 +49,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = t.filter(pc.and_(ha, hb))
         codes = [both[k].to_numpy() for k in ("code_a", "code_b", "weight")]
         dense += dense_counts(*codes)
+        met[codes[0], codes[1]] = True
         # rare with rare: counted by hash
         rare = t.filter(pc.invert(pc.or_(ha, hb)))
         if len(rare):
@@ -58,14 +59,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixed = t.filter(mask)
             if len(mixed):
                 yield grouped(mixed, keys)
-    i, j = np.nonzero(dense)
+    i, j = np.nonzero(met)  # pairs whose weights sum to 0 occur as well
     if len(i):
         none = pa.nulls(len(i), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), none, pa.array(j, pa.int32()), none, pa.array(dense[i, j])], names=names)
 
 
-def pair_counts(df: DataFrame, left: str, right: str, weight: str, least: int = 1) -> DataFrame:
-    """(a, b, s, total_a, total_b): summed weight of each pair of items with s >= least, and of either item over all records.
+def pair_counts(df: DataFrame, left: str, right: str, weight: str, least: int | None = None) -> DataFrame:
+    """(a, b, s, total_a, total_b): summed weight of each pair of items (only those with s >= least, if it is given), and of either item over all records.
 
     A record holds one item a side and a weight; records with a null among the three don't count, repeated records do. Sums are exact.
     Items in at least 1/64 of the records (so at most 64 a side, which may be broadcast) are heavy: pairs of two heavy items
@@ -84,7 +85,9 @@ def pair_counts(df: DataFrame, left: str, right: str, weight: str, least: int =
     (totals_a, heavy_a), (totals_b, heavy_b) = side("a"), side("b")
     coded = src.join(F.broadcast(heavy_a), F.col("a") == F.col("heavy_a"), "left").join(F.broadcast(heavy_b), F.col("b") == F.col("heavy_b"), "left")
     parts = coded.select("a", "b", "weight", "code_a", "code_b").mapInArrow(_count, "code_a int, a string, code_b int, b string, s bigint")
-    pairs = parts.groupBy("code_a", "a", "code_b", "b").agg(F.sum("s").alias("s")).where(F.col("s") >= least)
+    pairs = parts.groupBy("code_a", "a", "code_b", "b").agg(F.sum("s").alias("s"))
+    if least is not None:
+        pairs = pairs.where(F.col("s") >= least)
     # A heavy item's total comes from the broadcast table; its rows take a spread key that no total has, so they don't meet in one task.
     spread = lambda k, o: F.when(F.col(f"code_{k}").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(o, f"code_{o}"), F.lit(4096)))
     for k, o, totals, heavy in (("a", "b", totals_a, heavy_a), ("b", "a", totals_b, heavy_b)):
@@ -97,11 +100,11 @@ def pair_counts(df: DataFrame, left: str, right: str, weight: str, least: int =
     return pairs.select(F.coalesce("a", "heavy_a").alias("a"), F.coalesce("b", "heavy_b").alias("b"), "s", pick("a"), pick("b"))
 
 
-def lift(df: DataFrame, left: str, right: str, weight: str, least: int = 30, times: int = 0) -> DataFrame:
-    """(a, b, s, total_a, total_b, lift) of pairs with s >= least that stand together at least ``times`` as often as by chance: s * total >= times * total_a * total_b, compared without rounding. Empty input has no pair."""
+def lift(df: DataFrame, left: str, right: str, weight: str, least: int | None = None, times: int = 0) -> DataFrame:
+    """(a, b, s, total_a, total_b, lift) of each pair; with ``least`` only of pairs with s >= least, with ``times`` only of those that stand together at least so often as by chance: s * total >= times * total_a * total_b, compared without rounding. The lift is null where a total is 0. Empty input has no pair."""
     big = lambda c: F.col(c).cast("decimal(19,0)")
     every = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).agg(F.sum(F.col(weight).cast("bigint"))).scalar()
     p = pair_counts(df, left, right, weight, least).withColumn("total", every)
     if times:
         p = p.where(big("s") * big("total") >= big("total_a") * big("total_b") * F.lit(times).cast("decimal(5,0)"))
-    return p.select("a", "b", "s", "total_a", "total_b", (F.col("s").cast("double") * F.col("total") / F.col("total_a") / F.col("total_b")).alias("lift"))
+    return p.select("a", "b", "s", "total_a", "total_b", F.try_divide(F.try_divide(F.col("s").cast("double") * F.col("total"), F.col("total_a")), F.col("total_b")).alias("lift"))
