@@ -1,8 +1,8 @@
 """Delimited phrase lines: load what is sound, set apart what is not, with the reason.
 
-Record blocks are parsed column-wise by Arrow kernels that accept a block as a whole or not at all. A refused
-block is halved again and again until the rest is a handful of lines; those go through a strict parser that
-either loads the line (quoted fields and other unusual but sound forms) or names the first fault.
+Record blocks are parsed column-wise by Arrow kernels that accept a block as a whole or not at all, quoted fields
+included. A refused block is halved again and again down to the single lines that are at fault; those go through a
+strict parser that either loads the line (unusual but sound forms) or names the first fault.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ COUNT_FIELDS = ("countpair", "totalcountc", "totalcounte")
 #: The order of the nine fields in a line.
 FIELDS = ("phrasec", "phrasee", "alignstr", "countpair", "syntaxinfo", "postaginfo", "posframeinfo", "totalcountc", "totalcounte")
 REASONS = ("null_line", "column_count", "quoting", "phrasec", "phrasee", "alignstr", "countpair", "totalcountc", "totalcounte")
-#: So few lines go to the strict parser at once: a bulk call costs as much as about that many lines.
-LEAF = 32
+#: So few lines go to the strict parser at once.
+LEAF = 1
 MAX_LONG = 2**63 - 1
 
 _bad_phrase = re.compile("[\x00-\x1f\x7f-\x9f�]")
 _links = re.compile(r"[0-9]+-[0-9]+(?: [0-9]+-[0-9]+)*")
 _count = re.compile(r"[1-9][0-9]{0,18}")
+# A line of nine fields, each quoted or not. A plain field may come out too long where the fields are too many, see _quoted_fields.
+_nine = r"(?s)^" + r" \|\|\| ".join(rf'(?P<f{k}>"(?:[^"]|"")*"|(?:[^"].*?)??)' for k in range(len(FIELDS))) + r"\z"
 
 
 class Refused(Exception):
@@ -95,16 +97,47 @@ def diagnose(raw: str | None) -> tuple[list | None, str | None, str | None]:
     return f, None, None
 
 
-def parse_block(raw: pa.Array) -> list[pa.Array]:
-    """The nine typed columns of a block of plain, sound lines; raises Refused otherwise."""
-    if raw.null_count:
+def _quoted_fields(raw: pa.Array) -> pa.Array:
+    """The fields of lines with quoted fields, unquoted, line after line; raises Refused if one of them has broken quotes or not nine fields."""
+    m = pc.extract_regex(raw, _nine)
+    if m.null_count:
         raise Refused
-    parts = pc.split_pattern(raw, SEP)
-    if not pc.all(pc.equal(pc.list_value_length(parts), len(FIELDS))).as_py():
+    cols = [m.field(k) for k in range(len(FIELDS))]
+    flat = pa.concat_arrays(cols)
+    quoted = pc.starts_with(flat, '"')
+    # a plain field ends at the first separator after its start, which may overlap with the next one
+    followed = np.arange(len(flat)) < len(flat) - len(raw)
+    long = pc.or_(pc.match_substring(flat, SEP), pc.and_(pc.ends_with(flat, SEP[:-1]), pa.array(followed)))
+    if pc.any(pc.and_not(long, quoted)).as_py():
         raise Refused
-    flat = parts.flatten()
-    if pc.any(pc.starts_with(flat, '"')).as_py():
+    bare = pc.replace_substring(pc.utf8_slice_codeunits(flat, 1, -1), '""', '"')
+    by_line = np.arange(len(flat)).reshape(len(FIELDS), len(raw)).T.ravel()
+    return pc.if_else(quoted, bare, flat).take(pa.array(by_line))
+
+
+def _fields(raw: pa.Array) -> pa.Array:
+    """The fields of a block, line after line; raises Refused if a line has broken quotes or not nine fields."""
+    quoted = pc.or_(pc.starts_with(raw, '"'), pc.match_substring(raw, SEP + '"'))
+    if not pc.any(quoted).as_py():
+        parts = pc.split_pattern(raw, SEP)
+        if not pc.all(pc.equal(pc.list_value_length(parts), len(FIELDS))).as_py():
+            raise Refused
+        return parts.flatten()
+    if pc.all(quoted).as_py():
+        return _quoted_fields(raw)
+    halves = [_fields(raw.filter(pc.invert(quoted))), _quoted_fields(raw.filter(quoted))]
+    q = quoted.to_numpy(zero_copy_only=False)
+    line = np.empty(len(raw), dtype=np.int64)
+    line[~q], line[q] = np.arange((~q).sum()), np.arange(q.sum()) + (~q).sum()
+    n = len(FIELDS)
+    return pa.concat_arrays(halves).take(pa.array((line[:, None] * n + np.arange(n)).ravel()))
+
+
+def parse_block(raw: pa.Array) -> list[pa.Array]:
+    """The nine typed columns of a block of sound lines; raises Refused otherwise."""
+    if raw.null_count:
         raise Refused
+    flat = _fields(raw)
     size = len(raw)
     by_field = np.arange(size * len(FIELDS)).reshape(size, len(FIELDS)).T
     texts = flat.take(pa.array(by_field[:2].ravel()))
@@ -129,22 +162,29 @@ def parse_block(raw: pa.Array) -> list[pa.Array]:
     return [texts.slice(0, size), texts.slice(size, size), rest[2], c[0], rest[4], rest[5], rest[6], c[1], c[2]]
 
 
-def bisect(raw: pa.Array, lo: int, hi: int, good: list, single: list, bad: list) -> None:
-    """Appends (lo, hi, columns) for each run of lines loaded in bulk, (row, values) for each line loaded by the strict parser, (row, reason, detail) for each other."""
+def bisect(raw: pa.Array, lo: int, hi: int, good: list, single: list, bad: list, refused: bool = False) -> bool:
+    """Appends (lo, hi, columns) for each run of lines loaded in bulk, (row, values) for each line loaded by the strict parser, (row, reason, detail) for each other.
+
+    refused: a bulk call isn't tried as it is known to fail. Returns whether all lines were loaded.
+    """
     if hi - lo <= LEAF:
+        known = len(bad)
         for k, line in enumerate(raw.slice(lo, hi - lo).to_pylist(), lo):
             values, reason, detail = diagnose(line)
             if reason:
                 bad.append((k, reason, detail))
             else:
                 single.append((k, values))
-        return
-    try:
-        good.append((lo, hi, parse_block(raw.slice(lo, hi - lo))))
-    except Refused:
-        mid = (lo + hi) // 2
-        bisect(raw, lo, mid, good, single, bad)
-        bisect(raw, mid, hi, good, single, bad)
+        return len(bad) == known
+    if not refused:
+        try:
+            good.append((lo, hi, parse_block(raw.slice(lo, hi - lo))))
+            return True
+        except Refused:
+            pass
+    mid = (lo + hi) // 2
+    left = bisect(raw, lo, mid, good, single, bad)
+    return bisect(raw, mid, hi, good, single, bad, refused=left) and left
 
 
 def _types(ids: list[tuple[str, str]]) -> str:

@@ -57,3 +57,23 @@ def test_frame(spark):
     assert B.loaded(df).count() == sum(r is None for _, r in CASES) * 20
     assert {r.line_id for r in B.rejects(df).collect()} == {i for i in range(len(lines)) if CASES[i % len(CASES)][1]}
     assert B.parse_lines(df.limit(0)).count() == 0
+
+
+def test_most_lines_load_in_bulk():
+    quoted = [bad_with(4, '"p ||| ""q"""'), bad_with(0, '"a b"'), bad_with(8, '"9"'), bad_with(5, '"|||"')]
+    lines = [bad_with(2, "0-9") if k % 25 == 7 else None if k == 300 else quoted[k % 4] if k % 9 == 0 else GOOD for k in range(1024)]
+    good, single, bad = [], [], []
+    B.bisect(pa.array(lines), 0, len(lines), good, single, bad)
+    loaded = {k: list(v) for lo, hi, cols in good for k, v in zip(range(lo, hi), zip(*(c.to_pylist() for c in cols)))}
+    assert len(loaded) > 0.9 * (len(lines) - len(bad))
+    assert sorted([*loaded, *(k for k, _ in single), *(k for k, _, _ in bad)]) == list(range(len(lines)))
+    assert all((loaded | dict(single)).get(k) == B.diagnose(x)[0] for k, x in enumerate(lines))
+
+
+@pytest.mark.parametrize("line", [x for x, _ in CASES] + [GOOD.replace(" ||| x", ' ||| "x ||| y'), GOOD + ' ||| "z"', "a ||| " + bad_with(0, '"a b"'), bad_with(4, '"p" |||'), bad_with(4, '"p\n"'), bad_with(6, '"') + "\n"])
+def test_quoted_lines_in_bulk(line):
+    values, reason, _ = B.diagnose(line)
+    try:
+        assert [c.to_pylist()[0] for c in B.parse_block(pa.array([line], pa.string()))] == values
+    except B.Refused:
+        assert reason or line == bad_with(4, '"p" |||')
