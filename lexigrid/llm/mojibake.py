@@ -189,8 +189,8 @@ def known_trip(s: str, wrong: str, right: str, open_start: bool, open_end: bool)
 
 _run = re.compile(r"[^\x00-\x7f�]+")
 _calm = frozenset(PLAIN_SIGNS + PLAIN_LETTERS + PLAIN_LETTERS.upper() + "".join(RUSSIAN) + "".join(RUSSIAN).upper())
-# Places where calm characters stand as they don't in rightly decoded text: capitals within words, signs right after letters, runs of Cyrillic capitals.
-_uneasy = re.compile(r"[a-zà-ÿ][À-ÖØ-ÞŒŠŽŸ]|[À-Þ][a-zà-ÿ]*[À-Þ]|[A-Za-zÀ-ÿ][\xa0-»¿×÷‚-‡‰€™]|[ÂÃÐÑ][^\x00-\x7f]|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[a-z][¡-¿×÷]")
+# Places where calm characters stand as they don't in rightly decoded text: capitals within words, signs right after letters, runs of Cyrillic capitals, Cyrillic letters next to small Latin ones (save those of the same shape), dashes where Spanish words have ó and ñ (not any dash between letters, which is common).
+_uneasy = re.compile(r"[a-zà-ÿ][À-ÖØ-ÞŒŠŽŸ]|[À-Þ][a-zà-ÿ]*[À-Þ]|[A-Za-zÀ-ÿ][\xa0-»¿×÷‚-‡‰€™]|[ÂÃÐÑ][^\x00-\x7f]|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[a-z][¡-¿×÷]|[a-zà-ÿ][А-ЯЁбвгджзий-нпст-фц-яё]|[БГДЖЗИЙЛПФЦ-Ябвгджзий-нпст-фц-яё][a-zà-ÿ]|ci—n\b|[a-z]–[ao]s?\b")
 _utf8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 # Scripts and blocks in which short runs of other text happen to decode; a decoding that leads there is none.
 _strange = re.compile("[ɐ-ΐϊ-ϿѐѝѠ-ҏҒ-ᷰἀ-\u1fffꀀ-\uf8ff]")
@@ -200,7 +200,7 @@ _CYRILLIC = {(w, r) for w, r in PAIRS if r in ("cp1251", "koi8_r", "cp866", "iso
 
 
 def suspicious(text: str) -> bool:
-    """Whether the text holds anything that a round trip could better; a cheap test that is true for every text with a character or a place out of the ordinary."""
+    """Whether the text holds anything that a round trip could better; a cheap test that is true for every text with a character out of the ordinary or a place of _uneasy."""
     return any(c >= "\x80" and c not in _calm and base_cost(c) > 0.6 and c != "\xa0" for c in frozenset(text)) or _uneasy.search(text) is not None
 
 
@@ -303,6 +303,8 @@ def _enough(runs: list, turned: list, stretch: tuple, wrong: str, right: str) ->
         return gain >= 3.0 and n >= 3
     if (wrong, right) in _CYRILLIC:
         return gain >= 4.0 and n >= 6
+    if right == "cp1252" and wrong in ("cp1251", "koi8_r") and any(runs[k][1] - runs[k][0] > 2 for k in range(lo, hi + 1) if turned[k] is not None):
+        return False  # accented letters stand alone or in twos; longer Cyrillic runs in Latin text are endings and names
     return gain >= 1.9
 
 

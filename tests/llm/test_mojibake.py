@@ -55,3 +55,21 @@ def test_frame(spark):
     assert got[0][2] == FRENCH and got[2][2] == "-" and got[5][2].endswith(FRENCH)
     assert sorted(r.doc_id for r in M.repaired(df, found_only=True).collect()) == [1, 1, 5]
     assert M.repaired(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("read", ["cp1251", "koi8_r"])
+@pytest.mark.parametrize("text", [FRENCH.replace("«", "").replace("»", "").replace("–", "-"), "El niño y la exposición, mañana y después"])
+def test_latin_text_read_as_cyrillic(text, read):
+    garbled = text.encode("cp1252").decode(read)
+    found, back, _ = M.repair(garbled)
+    assert M.suspicious(garbled) and found and [c for c in back if c.isascii()] == [c for c in text if c.isascii()] and sum(a != b for a, b in zip(back, text)) <= 1
+
+
+def test_mac_text_read_as_western():
+    text = "la exposición y la reunión del niño"
+    assert M.repair(text.encode("mac_roman").decode("cp1252")) == (True, text, 1)
+
+
+@pytest.mark.parametrize("text", ["the bаnk and the pаper of the stаte", "the rule—which failed—was kept—so far", "IT-отдел, MP3-плеер и USBшный порт", "webный и webный порт"])
+def test_harmless_neighbours(text):
+    assert M.repair(text) == (False, text, 0)
