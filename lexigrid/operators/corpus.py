@@ -34,16 +34,17 @@ def ranked(freq: DataFrame, reserved: list[str], first: int) -> DataFrame:
 
 
 def encode(docs: DataFrame, dictionary: DataFrame, doc_id: str, toks: Column, unknown: int = 0) -> DataFrame:
-    """(doc_id, ids): token ids in order, unknown words by the given id. A dictionary grows with the data, so it is joined, not shipped."""
-    t = docs.select(doc_id, F.posexplode(toks).alias("at", "word"))
+    """(doc_id, ids): token ids in order, unknown words by the given id; an empty list where there is no token (null, empty or blank text). A dictionary grows with the data, so it is joined, not shipped."""
+    t = docs.select(doc_id, F.posexplode_outer(toks).alias("at", "word"))
     j = t.join(dictionary.select("word", "id"), "word", "left").select(doc_id, "at", F.coalesce("id", F.lit(unknown)).alias("id"))
-    return j.groupBy(doc_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
+    return j.groupBy(doc_id).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "id")))), lambda x: x["id"]).alias("ids"))
 
 
 def decode(encoded: DataFrame, dictionary: DataFrame, doc_id: str) -> DataFrame:
-    t = encoded.select(doc_id, F.posexplode("ids").alias("at", "id"))
-    j = t.join(dictionary.select("id", "word"), "id")
-    return j.groupBy(doc_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
+    """(doc_id, text): the words of the ids, blanks between; ids that the dictionary lacks are left out. An empty or null list gives the empty text."""
+    t = encoded.select(doc_id, F.posexplode_outer("ids").alias("at", "id"))
+    j = t.join(dictionary.select("id", "word"), "id", "left")
+    return j.groupBy(doc_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "word")))), lambda x: x["word"]), " ").alias("text"))
 
 
 def within_length(df: DataFrame, src: Column, tgt: Column, most: int) -> DataFrame:

@@ -181,6 +181,18 @@ def dict_decode(spark, d):
     return C.decode(C.encode(items, dic, "item_id", T.tokens("text")), dic, "item_id")
 
 
+@query(f"with dict as ({_dict(['<s>', '</s>', 'unk'], 3)}), t as (select doc_id, {_TOK} as w from documents), e as (select doc_id, string_agg(coalesce(id, 0)::varchar, ' ' order by k) as ids from (select doc_id, k, w[k] as word from t, range(1, len(w) + 1) u(k)) left join dict using (word) group by 1) select doc_id, coalesce(ids, '') as ids from documents left join e using (doc_id)")
+def dict_encode_docs(spark, d):
+    e = C.encode(table(spark, d, "documents"), dict_lm(spark, d), "doc_id", T.tokens("text"))
+    return e.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+@query(f"select doc_id, coalesce(array_to_string({_TOK}, ' '), '') as text from documents")
+def dict_decode_docs(spark, d):
+    dic = dict_lm(spark, d)
+    return C.decode(C.encode(table(spark, d, "documents"), dic, "doc_id", T.tokens("text")), dic, "doc_id")
+
+
 @query("select word, freq, row_number() over (order by freq desc, word) as place from (" + _FREQ + ")")
 def sort_desc_freq(spark, d):
     return C.ranked(C.word_count(table(spark, d, "documents")), [], 1).select("word", "freq", F.col("id").alias("place"))

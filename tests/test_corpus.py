@@ -34,3 +34,19 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "gz")).count() == 3
     (tmp_path / "p.csv").write_text("Ann|3\nBob|\n")
     assert tables.csv_to_parquet(spark, str(tmp_path / "p.csv"), str(tmp_path / "pq"), "name string, age int").count() == 2
+
+
+def test_rows_without_tokens_are_encoded_and_decoded(spark):
+    docs = spark.createDataFrame([(1, "b a zz b"), (2, ""), (3, None), (4, "  ")], "doc_id long, text string")
+    dic = spark.createDataFrame([("a", 3), ("b", 4)], "word string, id long")
+    ids = C.encode(docs, dic, "doc_id", T.tokens("text"))
+    assert {r.doc_id: r.ids for r in ids.collect()} == {1: [4, 3, 0, 4], 2: [], 3: [], 4: []}
+    assert {r.doc_id: r.text for r in C.decode(ids, dic, "doc_id").collect()} == {1: "b a b", 2: "", 3: "", 4: ""}
+
+
+def test_documents_are_encoded_and_decoded(spark, tmp_path):
+    from lexigrid.plans import registry
+
+    spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.ids for r in registry.queries()["dict_encode_docs"](spark, str(tmp_path)).collect()} == {1: "3 4 3", 2: "", 3: ""}
+    assert {r.doc_id: r.text for r in registry.queries()["dict_decode_docs"](spark, str(tmp_path)).collect()} == {1: "b a b", 2: "", 3: ""}
