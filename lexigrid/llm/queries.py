@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_rate(spark: SparkSession, d: str) -> DataFrame:
-    return seen_before.wrong_rate(_answers(spark, d))
+    return seen_before.wrong_rate(_answers(spark, d), by_path=True)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -81,8 +81,12 @@ class Chain:
             at += n
 
 
-def _first_of_batch(keep_first: bool):
-    """Splits a batch: the record of smallest order of each key, or all other records of the batch. Of equal orders the first in the batch goes first."""
+#: A key with at least 1/HOT of an Arrow batch is hot there.
+HOT = 64
+
+
+def _hot_repeats(take: bool):
+    """Splits a batch: the records of its hot keys but the one of smallest order of each, or all other records of the batch. Of equal orders the first in the batch goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,7 +94,9 @@ def _first_of_batch(keep_first: bool):
             by = np.lexsort((order, key))
             first = np.ones(len(by), dtype=bool)
             first[1:] = key[by][1:] != key[by][:-1]
-            yield b.take(pa.array(np.sort(by[first if keep_first else ~first])))
+            times = np.diff(np.append(np.flatnonzero(first), len(by)))
+            settled = ~first & np.repeat(times * HOT >= len(by), times)
+            yield b.take(pa.array(np.sort(by[settled if take else ~settled])))
 
     return run
 
@@ -130,30 +136,31 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def answers(df: DataFrame, key: str, order: str, history: DataFrame | None = None, history_key: str | None = None, capacity: int = 1 << 14, error: float = 0.001) -> DataFrame:
-    """(order, said, seen, bound) of each record whose key and order aren't null.
+    """(order, said, seen, bound, settled) of each record whose key and order aren't null.
 
     said: the chain's answer, never wrong when it says no. seen: the answer after an exact check of the yes answers. bound: the compounded
     bound on the rate of wrong yes answers when the record came. Records of null key or order have no answer and aren't remembered; repeated
     rows count like any other; of records with the same key and order all but one are seen. Other columns aren't read.
 
-    Repeats within an Arrow batch are settled on the spot (their ``said`` is true by that), so that a key with a third of all rows leaves one row a batch.
+    Repeats of a hot key within an Arrow batch are settled on the spot (their ``said`` is true by that, and ``settled`` tells them), so that a key with a third of all rows leaves one row a batch.
     The rest is shuffled by key once; each bucket runs through its own chain in order of arrival, history first, then through a sort by key
     in place for the check. A task holds its chain only: about 2 bytes a distinct key of its bucket, none of the keys.
     """
     src = df.select(F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("order")).where("key is not null and `order` is not null")
-    repeats = src.mapInArrow(_first_of_batch(False), "key bigint, `order` bigint")
-    stream = src.mapInArrow(_first_of_batch(True), "key bigint, `order` bigint").withColumn("kind", F.lit(1))
+    repeats = src.mapInArrow(_hot_repeats(True), "key bigint, `order` bigint")
+    stream = src.mapInArrow(_hot_repeats(False), "key bigint, `order` bigint").withColumn("kind", F.lit(1))
     if history is not None:
         old = history.select(F.col(history_key or key).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("order"), F.lit(0).alias("kind")).where("key is not null")
         stream = old.unionByName(stream)
     buckets = stream.repartition("key").sortWithinPartitions("kind", "order")
     told = buckets.mapInArrow(_answer(capacity, error), "key bigint, `order` bigint, kind int, said boolean, bound double")
     checked = told.sortWithinPartitions("key", "kind", "order").mapInArrow(_confirm, "`order` bigint, said boolean, seen boolean, bound double")
-    return checked.unionByName(repeats.select("order", F.lit(True).alias("said"), F.lit(True).alias("seen"), F.lit(0.0).alias("bound")))
+    checked = checked.withColumn("settled", F.lit(False))
+    return checked.unionByName(repeats.select("order", F.lit(True).alias("said"), F.lit(True).alias("seen"), F.lit(0.0).alias("bound"), F.lit(True).alias("settled")))
 
 
-def wrong_rate(told: DataFrame) -> DataFrame:
-    """One row: records, those said to be seen, those wrongly so, their share of the unseen, and the bound that held for it (0 without records)."""
+def wrong_rate(told: DataFrame, by_path: bool = False) -> DataFrame:
+    """One row: records, those said to be seen, those wrongly so, their share of the unseen, and the bound that held for it (0 without records). by_path: also how many of those said to be seen were settled in their batch, without the chain."""
     n = lambda c: F.count(F.when(c, 1))
-    a = told.agg(F.count(F.lit(1)).alias("records"), n(F.col("said")).alias("said_seen"), n(F.col("said") & ~F.col("seen")).alias("wrong"), n(~F.col("seen")).alias("unseen"), F.coalesce(F.max("bound"), F.lit(0.0)).alias("bound"))
-    return a.select("records", "said_seen", "wrong", F.coalesce(F.try_divide(F.col("wrong"), F.col("unseen")), F.lit(0.0)).alias("wrong_rate"), "bound")
+    a = told.agg(F.count(F.lit(1)).alias("records"), n(F.col("said")).alias("said_seen"), n(F.col("said") & ~F.col("seen")).alias("wrong"), n(~F.col("seen")).alias("unseen"), F.coalesce(F.max("bound"), F.lit(0.0)).alias("bound"), n(F.col("settled")).alias("batch_settled"))
+    return a.select("records", "said_seen", *(["batch_settled"] if by_path else []), "wrong", F.coalesce(F.try_divide(F.col("wrong"), F.col("unseen")), F.lit(0.0)).alias("wrong_rate"), "bound")

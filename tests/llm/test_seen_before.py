@@ -56,3 +56,15 @@ def test_empty_and_ties(spark):
     assert S.wrong_rate(S.answers(df, "id", "rec_id")).collect()[0].asDict() == {"records": 0, "said_seen": 0, "wrong": 0, "wrong_rate": 0.0, "bound": 0.0}
     ties = spark.createDataFrame([(1, 4), (1, 4), (None, 4), (2, None)], "rec_id long, id long")
     assert sorted(r.seen for r in S.answers(ties, "id", "rec_id").collect()) == [False, True]
+
+
+def test_only_repeats_of_hot_keys_are_settled_in_their_batch(spark):
+    rows = [(k, 7 if k % 4 == 0 else 100 + k % 400) for k in range(4000)]
+    df = spark.createDataFrame(rows, "rec_id long, id long").coalesce(1).sortWithinPartitions("rec_id")
+    told = S.answers(df, "id", "rec_id")
+    got = {r.order: (r.seen, r.settled) for r in told.collect()}
+    first = {key: k for k, key in reversed(rows)}
+    assert {k: v[0] for k, v in got.items()} == {k: k != first[key] for k, key in rows}
+    assert {key for k, key in rows if got[k][1]} == {7}
+    rate = S.wrong_rate(told, by_path=True).collect()[0]
+    assert rate.batch_settled == 999 and rate.said_seen >= sum(v[0] for v in got.values())
