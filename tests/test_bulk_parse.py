@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,12 +43,10 @@ pieces = st.lists(st.sampled_from(['"', '""', "a", " ", " ||| ", "|||", "0-0", "
 def test_bulk_never_loads_what_strict_refuses(lines):
     raw = pa.array(lines, pa.string())
     strict = [B.diagnose(x) for x in lines]
-    try:
-        cols = B.parse_block(raw)
-    except B.Refused:
-        return
-    assert all(r is None for _, r, _ in strict)
-    assert [list(x) for x in zip(*(c.to_pylist() for c in cols))] == [v for v, _, _ in strict]
+    at, cols, single, bad = B.parse_block(raw)
+    assert all(strict[k][1] is None for k in at)
+    assert [list(x) for x in zip(*(c.to_pylist() for c in cols))] == [strict[k][0] for k in at]
+    assert sorted([*at, *(k for k, _ in single), *(k for k, _, _ in bad)]) == list(range(len(lines)))
 
 
 def test_frame(spark):
@@ -62,18 +63,36 @@ def test_frame(spark):
 def test_most_lines_load_in_bulk():
     quoted = [bad_with(4, '"p ||| ""q"""'), bad_with(0, '"a b"'), bad_with(8, '"9"'), bad_with(5, '"|||"')]
     lines = [bad_with(2, "0-9") if k % 25 == 7 else None if k == 300 else quoted[k % 4] if k % 9 == 0 else GOOD for k in range(1024)]
-    good, single, bad = [], [], []
-    B.bisect(pa.array(lines), 0, len(lines), good, single, bad)
-    loaded = {k: list(v) for lo, hi, cols in good for k, v in zip(range(lo, hi), zip(*(c.to_pylist() for c in cols)))}
-    assert len(loaded) > 0.9 * (len(lines) - len(bad))
-    assert sorted([*loaded, *(k for k, _ in single), *(k for k, _, _ in bad)]) == list(range(len(lines)))
-    assert all((loaded | dict(single)).get(k) == B.diagnose(x)[0] for k, x in enumerate(lines))
+    at, cols, single, bad = B.parse_block(pa.array(lines))
+    loaded = {k: list(v) for k, v in zip(at, zip(*(c.to_pylist() for c in cols)))}
+    assert not single and len(loaded) == len(lines) - len(bad)
+    assert all(loaded.get(k) == B.diagnose(x)[0] for k, x in enumerate(lines))
+
+
+def test_share_loaded_in_bulk_on_the_table():
+    path = Path("/root/testdata/sf0.01/phrase_lines.parquet")
+    if not path.exists():
+        pytest.skip("no test data here")
+    raw = pq.read_table(path, columns=["raw"])["raw"].combine_chunks()
+    at, _, single, bad = B.parse_block(raw)
+    assert len(at) >= 0.85 * len(raw) and len(at) >= 0.99 * (len(raw) - len(bad)) and len(at) + len(single) + len(bad) == len(raw)
+
+
+def test_ranges_are_halved():
+    lines = [GOOD] * 64
+    lines[5] = lines[40] = "x"
+    good, rest = [], []
+    B.bisect(B.Block(pa.array(lines)), 0, 64, good, rest)
+    assert rest == [5, 40] and sum(hi - lo for lo, hi in good) == 62 and len(good) > 2
 
 
 @pytest.mark.parametrize("line", [x for x, _ in CASES] + [GOOD.replace(" ||| x", ' ||| "x ||| y'), GOOD + ' ||| "z"', "a ||| " + bad_with(0, '"a b"'), bad_with(4, '"p" |||'), bad_with(4, '"p\n"'), bad_with(6, '"') + "\n"])
 def test_quoted_lines_in_bulk(line):
     values, reason, _ = B.diagnose(line)
-    try:
-        assert [c.to_pylist()[0] for c in B.parse_block(pa.array([line], pa.string()))] == values
-    except B.Refused:
-        assert reason or line == bad_with(4, '"p" |||')
+    at, cols, single, bad = B.parse_block(pa.array([line], pa.string()))
+    if reason:
+        assert bad[0][1] == reason and not single and not len(at)
+    elif single:
+        assert single[0][1] == values
+    else:
+        assert [c.to_pylist()[0] for c in cols] == values
