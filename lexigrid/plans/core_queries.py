@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return bulk_parse.rejects(table(spark, d, "phrase_lines")).select("line_id", "reason")
+
+
+def p1_details(spark: SparkSession, d: str) -> DataFrame:
     return bulk_parse.rejects(table(spark, d, "phrase_lines")).select("line_id", "reason", "detail")
 
 
@@ -44,7 +48,7 @@ def _words_join(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_join_sums(spark: SparkSession, d: str) -> DataFrame:
     j = _words_join(spark, d)
-    return j.select(F.col("key").alias("words"), "join_rows", *(F.col(c).cast("bigint") for c in ("left_sum", "right_sum")))
+    return j.select(F.col("key").alias("words"), *(F.col(c).cast("bigint").alias(c) for c in ("join_rows", "left_sum", "right_sum")))
 
 
 def p4_join_by_order(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +57,7 @@ def p4_join_by_order(spark: SparkSession, d: str) -> DataFrame:
     return r.select("n", "keys", F.col("join_rows").cast("bigint").alias("join_rows"), F.col("left_sum").cast("bigint").alias("left_sum"), F.col("right_sum").cast("bigint").alias("right_sum"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_loaded, p1_reasons, p4_found, p4_key_counts, p4_join_sums, p4_join_by_order)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_details, p1_loaded, p1_reasons, p4_found, p4_key_counts, p4_join_sums, p4_join_by_order)}
 
 # Lines are cut by a pattern over the separator as one character (U+0001, which no line holds as it is).
 _FIELD = r'((?s:"(?:[^"]|"")*"|[^"\x01][^\x01]*|))'
@@ -86,6 +90,15 @@ _CUT += r""", judged as (
   from un
 )
 """
+_REASONS = _CUT + r""", told as (
+  select line_id, case when raw is null then 'null_line'
+    when not regexp_full_match(replace(raw, ' ||| ', chr(1)), '""" + _FIELD + r"(\x01" + _FIELD + r""")*') then 'quoting' when not whole then 'column_count'
+    when regexp_matches(c, '[\x00-\x1f\x7f-\x{9f}\x{fffd}]') or not regexp_matches(c, '[^\s\p{Z}]') then 'phrasec'
+    when regexp_matches(e, '[\x00-\x1f\x7f-\x{9f}\x{fffd}]') or not regexp_matches(e, '[^\s\p{Z}]') then 'phrasee'
+    when not regexp_full_match(a, '[0-9]+-[0-9]+( [0-9]+-[0-9]+)*') or not coalesce(list_bool_and(list_transform(string_split(a, ' '), lambda x: coalesce(try_cast(split_part(x, '-', 1) as bigint) < len(string_split(c, ' ')) and try_cast(split_part(x, '-', 2) as bigint) < len(string_split(e, ' ')), false))), false) then 'alignstr'
+    when not regexp_full_match(n1, '[1-9][0-9]*') or try_cast(n1 as bigint) is null then 'countpair' when not regexp_full_match(n2, '[1-9][0-9]*') or try_cast(n2 as bigint) is null then 'totalcountc' else 'totalcounte' end as reason
+  from judged where sound is not true)
+"""
 _FIELDS_SQL = """
 with k as (
   select 'ngram_join.words' as field_name, words as key from ngram_join union all
@@ -99,6 +112,8 @@ from ngram_join a join n_gram b on a.words = b.words group by 1
 """
 SQL = {
     "p1_found": _CUT + "select line_id from judged where sound is not true",
+    "p1_rejects": _REASONS + "select line_id, reason from told",
+    "p1_reasons": _REASONS + "select reason, count(*) as n from told group by 1",
     "p1_loaded": _CUT
     + "select line_id, c as phrasec, e as phrasee, a as alignstr, cast(n1 as bigint) as countpair, i1 as syntaxinfo, i2 as postaginfo, i3 as posframeinfo, cast(n2 as bigint) as totalcountc, cast(n3 as bigint) as totalcounte from judged where sound",
     "p4_found": _FIELDS_SQL + "select field_name, key as hot_key from (select *, sum(n) over (partition by field_name) as t from s) where n * 50 >= t",
