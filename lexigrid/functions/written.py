@@ -5,16 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(df: DataFrame) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine) a temporary folder."""
-    return df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder in local mode, which is one machine; an error on a cluster, whose executors wouldn't see that folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return tempfile.gettempdir()
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: its lineage ends there."""
-    path = f"{shared_dir(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder, read again: its lineage ends there. The table is deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

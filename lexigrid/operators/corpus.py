@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,18 +38,57 @@ def ranked(freq: DataFrame, reserved: list[str], first: int) -> DataFrame:
     return head.join(freq, "word", "left").select("word", "id", F.coalesce("freq", F.lit(0)).alias("freq")).unionByName(rows)
 
 
-def encode(docs: DataFrame, dictionary: DataFrame, doc_id: str, toks: Column, unknown: int = 0) -> DataFrame:
-    """(doc_id, ids): token ids in order, unknown words by the given id; an empty list where there is no token (null, empty or blank text). A dictionary grows with the data, so it is joined, not shipped."""
-    t = docs.select(doc_id, F.posexplode_outer(toks).alias("at", "word"))
-    j = t.join(dictionary.select("word", "id"), "word", "left").select(doc_id, "at", F.coalesce("id", F.lit(unknown)).alias("id"))
-    return j.groupBy(doc_id).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "id")))), lambda x: x["id"]).alias("ids"))
+#: So many entries of a table, those that rank first, are looked up where the rows are.
+HEAD = 1 << 16
+
 
+def looked_up(df: DataFrame, items: str, entries: DataFrame, key: str, value: str, rank: str, head: int = HEAD) -> DataFrame:
+    """``df`` with ``found``: the value of each element of the array ``items``, in order; null for elements without an entry, an empty array for a null one.
 
-def decode(encoded: DataFrame, dictionary: DataFrame, doc_id: str) -> DataFrame:
+    The ``head`` entries of lowest rank go to the tasks, so a word that stands in every row never becomes a join key. Only elements that they lack are joined with the rest of the table, one row for each
+    of them and row of ``df``: behind the most frequent words of a ranked dictionary none has many rows. Where the head is all of the table, nothing is shuffled. Keys of entries are unique.
+    """
+    kinds = dict(entries.dtypes)
+    first = entries.where(F.col(key).isNotNull()).orderBy(rank, key).limit(head).select(key, value).toArrow()
+    keys, values = (first[c].combine_chunks() for c in (key, value))
+    rest_kind = f"array<struct<at:int,item:{kinds[key]}>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            at = pc.index_in(flat.cast(keys.type), value_set=keys)
+            found = pa.ListArray.from_arrays(pa.array(offsets), values.take(at))
+            missing = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False)) if len(keys) == head else np.zeros(0, dtype=np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)[missing]
+            rest = pa.StructArray.from_arrays([pa.array((missing - offsets[row]).astype(np.int32)), flat.take(pa.array(missing))], ["at", "item"])
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, offsets).astype(np.int32)), rest)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], found, rest], names=[*names, "found", "rest"])
+
+    names = [c for c in df.columns if c != items]
+    own = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != items)
+    told = df.select(items, *names).mapInArrow(run, f"{own}, found array<{kinds[value]}>, rest {rest_kind}")
+    if len(keys) < head:
+        return told.drop("rest")
+    # rows are numbered once, in a written table, as both branches below must see the same numbers
+    told = written(told.withColumn("row", F.monotonically_increasing_id()), "looked-up")
+    tail = told.where(F.size("rest") > 0).select("row", F.inline("rest")).join(entries.select(F.col(key).alias("item"), F.col(value).alias("v")), "item")
+    tail = tail.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("more"))
+    joined = told.join(tail, "row", "left").withColumn("found", F.when(F.col("more").isNull(), F.col("found")).otherwise(F.transform("found", lambda x, i: F.coalesce(x, F.try_element_at("more", i)))))
+    return joined.select(*names, "found")
+
+
+def encode(docs: DataFrame, dictionary: DataFrame, doc_id: str, toks: Column, unknown: int = 0, head: int = HEAD) -> DataFrame:
+    """(doc_id, ids): token ids in order, unknown words by the given id; an empty list where there is no token (null, empty or blank text). One row for each row of ``docs``."""
+    t = looked_up(docs.select(doc_id, toks.alias("items")), "items", dictionary, "word", "id", "id", head)
+    return t.select(doc_id, F.transform("found", lambda x: F.coalesce(x, F.lit(unknown))).alias("ids"))
+
+
+def decode(encoded: DataFrame, dictionary: DataFrame, doc_id: str, head: int = HEAD) -> DataFrame:
     """(doc_id, text): the words of the ids, blanks between; ids that the dictionary lacks are left out. An empty or null list gives the empty text."""
-    t = encoded.select(doc_id, F.posexplode_outer("ids").alias("at", "id"))
-    j = t.join(dictionary.select("id", "word"), "id", "left")
-    return j.groupBy(doc_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "word")))), lambda x: x["word"]), " ").alias("text"))
+    t = looked_up(encoded.select(doc_id, F.col("ids").alias("items")), "items", dictionary, "id", "word", "id", head)
+    return t.select(doc_id, F.array_join("found", " ").alias("text"))
 
 
 def within_length(df: DataFrame, src: Column, tgt: Column, most: int) -> DataFrame:

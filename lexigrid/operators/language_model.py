@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
-from lexigrid.functions.spread import spread
 
 ALPHA = 0.4
 SMOOTH_BELOW = 1000
@@ -21,7 +20,7 @@ SMOOTH_BELOW = 1000
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per non-empty line: its tokens between <s> and </s>."""
-    line = spread(docs.select(text)).select(F.explode(T.lines(text)).alias("line")).where(F.length("line") > 0)
+    line = docs.select(text).select(F.explode(T.lines(text)).alias("line")).where(F.length("line") > 0)
     return line.select(T.wrap(T.tokens("line")).alias("w"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
-from lexigrid.functions.spread import spread
 from lexigrid.operators import corpus as C
 from lexigrid.operators import joins as J
 from lexigrid.sources.tables import table
@@ -33,7 +32,7 @@ _FREQ = f"select word, count(*) as freq from (select unnest({_TOK}) as word from
 
 def bitext(spark: SparkSession, d: str) -> DataFrame:
     """Phrase pairs as aligned sentences: row_id, src, tgt, links."""
-    p = spread(table(spark, d, "phrase_combinete").where("phrasec is not null and phrasee is not null and alignstr is not null").select("row_id", "phrasec", "phrasee", "alignstr"))
+    p = table(spark, d, "phrase_combinete", spark.sparkContext.defaultParallelism).where("phrasec is not null and phrasee is not null and alignstr is not null")
     src, tgt = T.terms("phrasec"), T.terms("phrasee")
     return p.select("row_id", src.alias("src"), tgt.alias("tgt"), T.links("alignstr", F.size(src), F.size(tgt)).alias("links"))
 
@@ -120,9 +119,12 @@ def pos_normalize(spark, d):
     return p.select("row_id", F.array_join(T.plain_brackets(F.concat(F.array(F.lit("-LRB-")), T.terms("postaginfo"), F.array(F.lit("-RRB-")))), " ").alias("tags"))
 
 
-@query("select rec_id, packed, cast(packed // 1073741824 as bigint) as a, cast(packed % 1073741824 as bigint) as b from (select rec_id, cast(shard as bigint) * 1073741824 + num as packed from ngram_join where num is not null and num < 1073741824)")
+@query("select rec_id, case when num between 0 and 1073741823 and shard is not null then shard::bigint * 1073741824 + num end as packed, case when num between 0 and 1073741823 then shard::bigint end as a, case when num between 0 and 1073741823 and shard is not null then num end as b from ngram_join")
 def pair_pack(spark, d):
-    g = table(spark, d, "ngram_join").where("num is not null and num < 1073741824").select("rec_id", (F.shiftleft(F.col("shard").cast("bigint"), 30) + F.col("num")).alias("packed"))
+    """Both numbers in one and back again; null where one of them is null or the second one has no place in 30 bits."""
+    g = table(spark, d, "ngram_join")
+    packed = F.when(F.col("num").between(0, (1 << 30) - 1), F.shiftleft(F.col("shard").cast("bigint"), 30) + F.col("num"))
+    g = g.select("rec_id", packed.alias("packed"))
     return g.select("rec_id", "packed", F.shiftright("packed", 30).alias("a"), F.col("packed").bitwiseAND(F.lit((1 << 30) - 1)).alias("b"))
 
 
@@ -281,12 +283,31 @@ _join("join_broadcast", "inner", lambda a, b: J.broadcast_join(a, b, "k"))
 
 
 @query(_SIDES + " select coalesce(a.k, b.k) as key, a.n as n_left, b.n as n_right, a.s as sum_left, b.s as sum_right from (select k, count(*) as n, cast(sum(event_id) as bigint) as s from a where k is not null group by 1) a full join (select k, count(*) as n, cast(sum(o_orderkey) as bigint) as s from b where k is not null group by 1) b using (k)")
-def cogroup_lists(spark, d):
+def cogroup_sizes(spark, d):
     a, b = _sides(spark, d)
     c = J.cogroup_sizes(a, b, "k", "event_id", "o_orderkey")
     return c.select("key", "n_left", "n_right", F.col("sum_left").cast("bigint"), F.col("sum_right").cast("bigint"))
 
 
+@query(_SIDES + ", r as (select k as key, event_id as v, null as w from a union all select k, null, o_orderkey from b) select key, coalesce(string_agg(v::varchar, ' ' order by v), '') as lefts, coalesce(string_agg(w::varchar, ' ' order by w), '') as rights from r where key is not null group by 1")
+def cogroup_lists(spark, d):
+    """The lists of either side, as text; at these sizes a key has one cell."""
+    c = J.cogroup(*_sides(spark, d), "k", "event_id", "o_orderkey")
+    return c.select("key", F.array_join("lefts", " ").alias("lefts"), F.array_join("rights", " ").alias("rights"))
+
+
+@query("select rec_id, id, first_seen_at from ngram join ngram_seen using (id)")
+def join_bloom(spark, d):
+    """Records whose key can't have been counted before stop at a Bloom filter of the known keys."""
+    return J.bloom_join(table(spark, d, "ngram").select("rec_id", "id"), table(spark, d, "ngram_seen"), "id", 5000)
+
+
+@query("select k, greatest(least(case when n >= 50 then 8 else 1 end, 32), 1) as fixed, greatest(least(cast(floor(sqrt(32.0 * 10 / n)) as int), 32), 1) as root from (select user_id as k, count(*) as n from events where user_id is not null group by 1)")
+def replication_policies(spark, d):
+    n = J.key_frequency(table(spark, d, "events"), "user_id")
+    return n.select(F.col("key").alias("k"), J.fixed_replication(F.col("n"), 8, 50).alias("fixed"), J.root_replication(F.col("n"), F.lit(10), 32).alias("root"))
+
+
 @query("select n_name, r_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2")
 def join_star(spark, d):
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"))

@@ -16,7 +16,7 @@ N = 5
 
 
 def counts(spark: SparkSession, d: str, high: int = N, low: int = 1) -> DataFrame:
-    return L.ngram_counts(L.sentences(table(spark, d, "documents")), high, low)
+    return L.ngram_counts(L.sentences(table(spark, d, "documents", spark.sparkContext.defaultParallelism)), high, low)
 
 
 def kept(spark: SparkSession, d: str, high: int) -> DataFrame:
@@ -91,7 +91,7 @@ def gt_direct(spark, d):
 
 
 def lm_wrap(spark, d):
-    return L.sentences(table(spark, d, "documents")).select(F.array_join("w", " ").alias("sentence"))
+    return L.sentences(table(spark, d, "documents", spark.sparkContext.defaultParallelism)).select(F.array_join("w", " ").alias("sentence"))
 
 
 def lm_arpa_render(spark, d):

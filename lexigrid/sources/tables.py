@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` below ``root`` (a file or a folder)."""
-    return spark.read.parquet(f"{root}/{name}.parquet")
+def at_least(df: DataFrame, parts: int) -> DataFrame:
+    """A scan in at least so many partitions, as text readers take a minimum: few files that can't be split are dealt out once; a scan with enough splits isn't moved."""
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines of text files, or of every part file of a folder."""
-    return spark.read.text(path).where(F.length("value") > 0)
+def table(spark: SparkSession, root: str, name: str, parts: int = 0) -> DataFrame:
+    """The Parquet table ``name`` below ``root`` (a file or a folder), in at least ``parts`` partitions. Whoever reads few of its columns gets only these from storage."""
+    df = spark.read.parquet(f"{root}/{name}.parquet")
+    return at_least(df, parts) if parts else df
+
+
+def text_lines(spark: SparkSession, path: str, parts: int = 0) -> DataFrame:
+    """Non-empty lines of text files, or of every part file of a folder, in at least ``parts`` partitions."""
+    lines = spark.read.text(path)
+    return (at_least(lines, parts) if parts else lines).where(F.length("value") > 0)
 
 
 def bitext_tsv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from lexigrid.functions import text as T
 from lexigrid.operators import corpus as C
 from lexigrid.operators import translation as X
@@ -50,3 +52,30 @@ def test_documents_are_encoded_and_decoded(spark, tmp_path):
     spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.ids for r in registry.queries()["dict_encode_docs"](spark, str(tmp_path)).collect()} == {1: "3 4 3", 2: "", 3: ""}
     assert {r.doc_id: r.text for r in registry.queries()["dict_decode_docs"](spark, str(tmp_path)).collect()} == {1: "b a b", 2: "", 3: ""}
+
+
+def test_words_beyond_the_head_are_joined(spark):
+    docs = spark.createDataFrame([(1, "b a zz c b"), (1, "c"), (2, ""), (3, None)], "doc_id long, text string")
+    dic = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "word string, id long")
+    for head in (1, 2, 3, 9):
+        ids = C.encode(docs, dic, "doc_id", T.tokens("text"), head=head)
+        assert sorted((r.doc_id, r.ids) for r in ids.collect()) == [(1, [4, 3, 0, 5, 4]), (1, [5]), (2, []), (3, [])]
+        assert sorted((r.doc_id, r.text) for r in C.decode(ids, dic, "doc_id", head=head).collect()) == [(1, "b a c b"), (1, "c"), (2, ""), (3, "")]
+
+
+def test_shared_folder(spark):
+    from lexigrid.functions import written as Wr
+
+    class Session:
+        def __init__(self, **kw):
+            self.conf = self
+            self.kw = kw
+
+        def get(self, key, default=None):
+            return self.kw.get(key, default)
+
+    assert Wr.shared_dir(Session(**{"spark.checkpoint.dir": "hdfs://x/y/", "spark.master": "yarn"})) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        Wr.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
+    assert Wr.shared_dir(Session(**{"spark.master": "local[4]"}))
+    assert Wr.written(spark.range(3), "t").count() == 3
