@@ -37,6 +37,7 @@ def test_against_brute_force(spark):
     docs += [(500, None, 1), (501, "", 1), (502, "w1 " * 20_000 + docs[0][1], 1), (None, docs[0][1], 1)]
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id int").repartition(3)
     i = spark.createDataFrame(items, "item_id long, text string, doc_id string")
+    exact = set()
     for errors in (0, 1, 2):
         want = set()
         for di, dt, _ in docs:
@@ -49,6 +50,17 @@ def test_against_brute_force(spark):
                 if any(distance(b[k : k + 12], a) <= errors for k in range(len(b) - 11)):
                     want.add((di, ii))
         for block in (10**6, 60):
-            got = [(r.doc_id, r.item_id) for r in L.leaked(d, i, 12, errors, block_words=block).collect()]
+            rows = L.leaked(d, i, 12, errors, block_words=block).collect()
+            got = [(r.doc_id, r.item_id) for r in rows]
             assert len(got) == len(set(got)) and set(got) == want
+            exact = exact if errors else want
+            assert {(r.doc_id, r.item_id) for r in rows if r.edits == 0} == exact
     assert L.leaked(d.limit(0), i).count() == L.leaked(d, i.limit(0)).count() == 0
+
+
+def test_recall_of_edited_windows(spark):
+    rng = random.Random(11)
+    items = spark.createDataFrame([(k, " ".join(f"v{rng.randrange(3000)}" for _ in range(rng.choice([10, 20, 45])))) for k in range(60)], "item_id long, text string")
+    got = {r.edits: (r.planted, r.found) for r in L.recall(items, 20, 2).collect()}
+    n = got[0][0]
+    assert 0 < n < 60 and got == {0: (n, n), 1: (n, n), 2: (n, n), 3: (n, 0), 4: (n, 0)}
