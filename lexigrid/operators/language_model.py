@@ -129,6 +129,14 @@ def discounts(counts: DataFrame, variant: str = "reference") -> DataFrame:
     return count_of_counts(counts).groupBy("n").agg(*nk).select("n", y.alias("d"), *(x.alias(f"d{k}") for k, x in enumerate(d, 1)))
 
 
+def adjusted(counts: DataFrame, high: int) -> DataFrame:
+    """(n, gram, c) for the published models: below the top order a gram's count is its number of distinct predecessors; grams that nothing precedes (those with <s>) keep theirs. One exchange."""
+    own = counts.where(F.col("n") <= high).select("n", "gram", "c", F.lit(0).cast("bigint").alias("before"))
+    up = counts.where((F.col("n") > 1) & (F.col("n") <= high)).select((F.col("n") - 1).alias("n"), T.shorter("gram").alias("gram"), F.lit(0).cast("bigint").alias("c"), F.lit(1).cast("bigint").alias("before"))
+    g = own.unionByName(up).groupBy("n", "gram").agg(F.sum("c").alias("c"), F.sum("before").alias("before"))
+    return g.select("n", "gram", F.when((F.col("n") < high) & (F.col("before") > 0), F.col("before")).otherwise(F.col("c")).alias("c"))
+
+
 def _discounted(counts: DataFrame, modified: bool, variant: str) -> DataFrame:
     """(n, gram, hist, first, bow) of orders n >= 2: the discounted relative frequency and the weight of the lower order."""
     h = split_history(counts.where("n > 1"))
@@ -147,13 +155,14 @@ def _discounted(counts: DataFrame, modified: bool, variant: str) -> DataFrame:
 
 
 def interpolated(counts: DataFrame, high: int, modified: bool = False, variant: str = "reference") -> dict[int, DataFrame]:
-    """Order -> (gram, p): P = max(c - D, 0) / c(h) + bow(h) P_lower. The reference's lower order is that of the history with c / types below it all; the standard one drops the first word and ends in the continuation unigrams."""
+    """Order -> (gram, p): P = max(c - D, 0) / c(h) + bow(h) P_lower. The reference's lower order is that of the history with c / types below it all; the standard one has
+    distinct predecessors for counts at all lower orders, drops the first word and ends in the continuation unigrams."""
     uni = counts.where("n = 1")
     if variant == "reference":
         p = uni.select("gram", (F.col("c") / uni.agg(F.count(F.lit(1))).scalar()).alias("p"))
     else:
         p = uni.select("gram").join(continuation(counts), F.col("gram") == F.col("word"), "left").select("gram", F.coalesce("p", F.lit(0.0)).alias("p"))
-    out, parts = {1: p}, _discounted(counts, modified, variant)
+    out, parts = {1: p}, _discounted(counts if variant == "reference" else adjusted(counts, high), modified, variant)
     for n in range(2, high + 1):
         lower = out[n - 1].select(F.col("gram").alias("low"), F.col("p").alias("low_p"))
         at = F.col("hist") if variant == "reference" else T.shorter("gram")
@@ -167,7 +176,7 @@ def kneser_ney(counts: DataFrame, high: int, modified: bool = False, variant: st
     (of bigrams in the reference, of unigrams in the standard); a table in which a unigram has no weight gets </s> with log10 0.5 in the reference."""
     counts = counts.where(F.col("n") <= high)
     p = interpolated(counts, high, modified, variant)
-    weights = _discounted(counts, modified, variant).select(F.col("n").alias("above"), "hist", "bow").dropDuplicates(["above", "hist"])
+    weights = _discounted(counts if variant == "reference" else adjusted(counts, high), modified, variant).select(F.col("n").alias("above"), "hist", "bow").dropDuplicates(["above", "hist"])
     parts = []
     for n in range(1, high + 1):
         log = F.when(F.col("p") > 0, F.log10("p"))

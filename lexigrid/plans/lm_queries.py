@@ -46,8 +46,8 @@ def lm_kn(n, modified, variant, spark, d):
     return _rounded(p.select("gram", F.when(F.col("p") > 0, F.log10("p")).alias("logp")))
 
 
-def lm_table(modified, variant, spark, d):
-    return _rounded(L.kneser_ney(kept(spark, d, 3), 3, modified, variant))
+def lm_table(modified, variant, high, spark, d):
+    return _rounded(L.kneser_ney(kept(spark, d, high), high, modified, variant))
 
 
 def lm_type_counts(spark, d):
@@ -95,7 +95,7 @@ def lm_wrap(spark, d):
 
 
 def lm_arpa_render(spark, d):
-    return L.arpa(L.stupid_backoff(counts(spark, d, 3), 3))
+    return L.arpa(L.stupid_backoff(counts(spark, d), N))
 
 
 def _held_out(spark, d):
@@ -103,7 +103,7 @@ def _held_out(spark, d):
 
 
 def ppl_events(spark, d):
-    return L.events(_held_out(spark, d), 3).select("word", F.coalesce("h2", "h1").alias("hist"))
+    return L.events(_held_out(spark, d), N).select("word", F.coalesce("h4", "h3", "h2", "h1").alias("hist"))
 
 
 def ppl_token_count(spark, d):
@@ -116,19 +116,19 @@ def _unk(spark, d):
 
 
 def ppl_gsb(spark, d):
-    t = written(L.stupid_backoff(kept(spark, d, 3), 3, "standard"), "gsb")
+    t = written(L.stupid_backoff(kept(spark, d, N), N, "standard"), "gsb")
     unk = t.where("n = 1 and gram = 'unk'").select(F.col("logp").alias("unk"))
-    return _rounded(L.perplexity(L.stupid_score(L.events(_held_out(spark, d), 3), t, 3, unk)))
+    return _rounded(L.perplexity(L.stupid_score(L.events(_held_out(spark, d), N), t, N, unk)))
 
 
 def ppl_gt(spark, d):
-    c = kept(spark, d, 3)
-    return _rounded(L.perplexity(L.turing_score(L.events(_held_out(spark, d), 3), L.good_turing(c, "standard"), 3, L.turing_fit(c, "standard"))))
+    c = kept(spark, d, N)
+    return _rounded(L.perplexity(L.turing_score(L.events(_held_out(spark, d), N), L.good_turing(c, "standard"), N, L.turing_fit(c, "standard"))))
 
 
 def _ppl_kn(modified, spark, d):
-    t = written(L.kneser_ney(kept(spark, d, 3), 3, modified, "standard").where("gram <> 'unk' or n > 1"), "kn")
-    return _rounded(L.perplexity(L.backed_off(L.events(_held_out(spark, d), 3), t, 3, _unk(spark, d))))
+    t = written(L.kneser_ney(kept(spark, d, N), N, modified, "standard").where("gram <> 'unk' or n > 1"), "kn")
+    return _rounded(L.perplexity(L.backed_off(L.events(_held_out(spark, d), N), t, N, _unk(spark, d))))
 
 
 QUERIES = {f.__name__: f for f in (lm_type_counts, lm_history_split, lm_history_stats, lm_mkn_buckets, lm_continuation, count_of_counts, lm_kn_discount, gt_weighted_fit, gt_direct, lm_wrap, lm_arpa_render, ppl_events, ppl_token_count, ppl_gsb, ppl_gt)}
@@ -144,9 +144,9 @@ QUERIES |= {
     "lm_kn_std_2": partial(lm_kn, 2, False, "standard"),
     "lm_kn_std_3": partial(lm_kn, 3, False, "standard"),
     "lm_mkn_std_3": partial(lm_kn, 3, True, "standard"),
-    "lm_kn_table": partial(lm_table, False, "reference"),
-    "lm_mkn_table": partial(lm_table, True, "reference"),
-    "lm_kn_std_table": partial(lm_table, False, "standard"),
+    "lm_kn_std_5": partial(lm_kn, 5, False, "standard"),
+    "lm_mkn_std_5": partial(lm_kn, 5, True, "standard"),
+    **{f"lm_{m}{v}_table{'' if k == 3 else '_5'}": partial(lm_table, m == "mkn", variant, k) for m in ("kn", "mkn") for v, variant in (("", "reference"), ("_std", "standard")) for k in (3, N)},
     "lm_mkn_discounts": partial(lm_mkn_discounts, "reference"),
     "lm_mkn_std_discounts": partial(lm_mkn_discounts, "standard"),
     "ppl_kn": partial(_ppl_kn, False),
@@ -163,15 +163,15 @@ _G = (
     "with "
     + base()
     + """, g as (select n, array_to_string(w[k : k + n - 1], ' ') as gram from s, range(1, 6) t(n), range(1, len(w) - n + 2) u(k)),
-c as (select cast(n as int) as n, gram, count(*) as c from g group by 1, 2),
-h as (select *, regexp_replace(gram, '(^| )[^ ]*$', '') as hist, regexp_extract(gram, '[^ ]*$') as word, regexp_replace(gram, '^[^ ]* ', '') as suffix from c),
+c as materialized (select cast(n as int) as n, gram, count(*) as c from g group by 1, 2),
+h as materialized (select *, regexp_replace(gram, '(^| )[^ ]*$', '') as hist, regexp_extract(gram, '[^ ]*$') as word, regexp_replace(gram, '^[^ ]* ', '') as suffix from c),
 t as (select n, count(*) as types, cast(sum(c) as bigint) as tokens from c group by 1),
-cc as (select n, c as r, count(*) as nr from c group by 1, 2),
-st as (select n, hist, cast(sum(c) as bigint) as total, count(*) as followers, count(*) filter (c = 1) as n1, count(*) filter (c = 2) as n2, count(*) filter (c > 2) as n3 from h where n > 1 group by 1, 2),
+cc as materialized (select n, c as r, count(*) as nr from c group by 1, 2),
+st as materialized (select n, hist, cast(sum(c) as bigint) as total, count(*) as followers, count(*) filter (c = 1) as n1, count(*) filter (c = 2) as n2, count(*) filter (c > 2) as n3 from h where n > 1 group by 1, 2),
 m as (select n, coalesce(sum(nr) filter (r = 1), 1)::double as m1, coalesce(sum(nr) filter (r = 2), 1)::double as m2, coalesce(sum(nr) filter (r = 3), 1)::double as m3, coalesce(sum(nr) filter (r = 4), 1)::double as m4 from cc group by 1),
 y as (select *, m1 / (m1 + 2 * m2) as y from m),
-d_ref as (select n, y as d, 1 - 2 * y * m2 / m1 as d1, 1 - 2 * y * m3 / m2 as d2, 1 - 2 * y * m4 / m3 as d3 from y),
-d_std as (select n, y as d, 1 - 2 * y * m2 / m1 as d1, 2 - 3 * y * m3 / m2 as d2, 3 - 4 * y * m4 / m3 as d3 from y),
+d_ref as materialized (select n, y as d, 1 - 2 * y * m2 / m1 as d1, 1 - 2 * y * m3 / m2 as d2, 1 - 2 * y * m4 / m3 as d3 from y),
+d_std as materialized (select n, y as d, 1 - 2 * y * m2 / m1 as d1, 2 - 3 * y * m3 / m2 as d2, 3 - 4 * y * m4 / m3 as d3 from y),
 co as (select word, count(*) as preceding, count(*) / (select count(*) from h where n = 2) as p from h where n = 2 group by 1),
 sums as (select n, count(*)::double as every, sum(1.0) filter (r < 1000) as m, sum(ln(r) * ln(nr)) filter (r < 1000) as xy, sum(ln(r)) filter (r < 1000) as x, sum(ln(nr)) filter (r < 1000) as y,
   sum(ln(r) * ln(r)) filter (r < 1000) as xx, sum(r) filter (r < 1000)::double as wm, sum(r * ln(r) * ln(nr)) filter (r < 1000) as wxy, sum(r * ln(r)) filter (r < 1000) as wx, sum(r * ln(nr)) filter (r < 1000) as wy,
@@ -182,53 +182,64 @@ fit_std as (select n, (m * xy - x * y) / (m * xx - x * x) as slope, total, n1 fr
 )
 
 
-def _kn_parts(variant: str, modified: bool) -> str:
+def _kn_parts(variant: str, modified: bool, high: int) -> str:
     if not modified:
         d, mass = "d", "d * followers"
     elif variant == "ref":
         d, mass = "case c when 1 then d1 when 2 then d2 when 3 then d3 else 0 end", "greatest(d1, 0) * followers"
     else:
         d, mass = "case c when 1 then d1 when 2 then d2 else d3 end", "d1 * n1 + d2 * n2 + d3 * n3"
-    low = "hist" if variant == "ref" else "suffix"
-    p1 = "select gram, c / (select count(*) from c where n = 1) as p from c where n = 1" if variant == "ref" else "select c.gram, coalesce(co.p, 0) as p from c left join co on gram = word where n = 1"
-    out = f"""a as (select h.n, gram, hist, {low} as low, greatest(c - ({d}), 0) / total as first, ({mass}) / total as bow from h join st using (n, hist) join d_{variant} using (n)),
-p1 as ({p1})"""
-    for n in range(2, N + 1):
-        out += f",\np{n} as (select a.gram, first + bow * p as p from a join p{n - 1} on low = p{n - 1}.gram where n = {n})"
+    if variant == "ref":
+        out, hs, sts, ds, low = "", "h", "st", "d_ref", "hist"
+        p1 = "select gram, c / (select count(*) from c where n = 1) as p from c where n = 1"
+    else:
+        hs, sts, ds, low = "ah", "ast", "ad", "suffix"
+        p1 = "select c.gram, coalesce(co.p, 0) as p from c left join co on gram = word where n = 1"
+        out = f"""ah as materialized (select n, gram, hist, suffix, coalesce(b.before, c) as c from h left join (select n - 1 as n, suffix as gram, count(*) as before from h where n between 2 and {high} group by 1, 2) b using (n, gram) where n <= {high}),
+ast as materialized (select n, hist, cast(sum(c) as bigint) as total, count(*) as followers, count(*) filter (c = 1) as n1, count(*) filter (c = 2) as n2, count(*) filter (c > 2) as n3 from ah where n > 1 group by 1, 2),
+am as (select n, greatest(count(*) filter (c = 1), 1)::double as m1, greatest(count(*) filter (c = 2), 1)::double as m2, greatest(count(*) filter (c = 3), 1)::double as m3, greatest(count(*) filter (c = 4), 1)::double as m4 from ah group by 1),
+ad as materialized (select n, m1 / (m1 + 2 * m2) as d, 1 - 2 * d * m2 / m1 as d1, 2 - 3 * d * m3 / m2 as d2, 3 - 4 * d * m4 / m3 as d3 from am),
+"""
+    out += f"""a as materialized (select x.n, gram, hist, {low} as low, greatest(c - ({d}), 0) / total as first, ({mass}) / total as bow from {hs} x join {sts} using (n, hist) join {ds} using (n) where x.n <= {high}),
+p1 as materialized ({p1})"""
+    for n in range(2, high + 1):
+        out += f",\np{n} as materialized (select a.gram, first + bow * p as p from a join p{n - 1} on low = p{n - 1}.gram where n = {n})"
     return out + "\n"
 
 
 def _kn_sql(n: int, variant: str, modified: bool) -> str:
-    return _G + _kn_parts(variant, modified) + f"select gram, case when p > 0 then round(log10(p), 6) + 0 end as logp from p{n}"
+    return _G + _kn_parts(variant, modified, n) + f"select gram, case when p > 0 then round(log10(p), 6) + 0 end as logp from p{n}"
 
 
-def _table_sql(variant: str, modified: bool) -> str:
+def _table_sql(variant: str, modified: bool, high: int) -> str:
     lg = "case when p > 0 then log10(p) end"
     bw = "case when bow > 0 then log10(bow) else 0 end"
     how = "join" if variant == "ref" else "left join"
-    out = f""", bw as (select distinct n, hist, bow from a), tab as (
+    out = f""", bw as materialized (select distinct n, hist, bow from a), tab as materialized (
 select 1 as n, gram, case when gram = '<s>' then 0 else {lg} end as logp, case when gram = '</s>' then 0 else {bw} end as bow from p1 {how} bw on gram = hist and bw.n = 2
-union all select 2, gram, {lg}, {bw} from p2 left join bw on gram = hist and bw.n = 3 union all select 3, gram, {lg}, null from p3
-union all select 1, 'unk', -log10(types), 0 from t where n = {2 if variant == "ref" else 1}"""
+"""
+    for n in range(2, high + 1):
+        out += f"union all select {n}, gram, {lg}, {bw} from p{n} left join bw on gram = hist and bw.n = {n + 1}\n" if n < high else f"union all select {n}, gram, {lg}, null from p{n}\n"
+    out += f"union all select 1, 'unk', -log10(types), 0 from t where n = {2 if variant == 'ref' else 1}"
     if variant == "ref":
         out += " union all select 1, '</s>', log10(0.5), 0 where exists (select 1 from p1 where gram not in (select hist from bw where n = 2))"
-    return _G + _kn_parts(variant, modified) + out + ")\n"
+    return _G + _kn_parts(variant, modified, high) + out + ")\n"
 
 
 _GSB = """gsb as (select 1 as n, gram, case when gram = '<s>' then 0 else log10(c) - log10({v}) end as logp, case when gram = '</s>' then 0 else log10(0.4) end as bow from c where n = 1
 union all select 1, 'unk', -log10({v}), 0 union all select n, gram, log10(c) - log10(total), case when n < {high} then log10(0.4) end from h join st using (n, hist))
 """
 _TYPES, _TOKENS = "(select types from t where n = 1)", "(select tokens from t where n = 1)"
-_EV = base("eval_items", "_e") + ", e as (select w[k] as word, case when k > 1 then w[k - 1] end as h1, case when k > 2 then w[k - 2] || ' ' || w[k - 1] end as h2 from s_e, range(2, len(w) + 1) u(k))"
+_EV = base("eval_items", "_e") + ", e as materialized (select sid, k, w[k] as word, " + ", ".join(f"case when k > {j} then array_to_string(w[k - {j} : k - 1], ' ') end as h{j}" for j in range(1, N)) + " from s_e, range(2, len(w) + 1) u(k))"
 
 
 def _ppl(tab: str, cut: str) -> str:
-    return f""", {_EV}, scored as (
-select case when h2 is null then case when h1 is null then s1 else coalesce(q2.logp, {cut.format(1)} + s1) end else coalesce(q3.logp, {cut.format(2)} + coalesce(q2.logp, {cut.format(1)} + s1)) end as logp
-from (select e.*, coalesce(q1.logp, (select -log10({_TOKENS if "0.4" in cut else _TYPES}))) as s1 from e left join (select * from {tab} where gram <> 'unk' or n > 1) q1 on q1.n = 1 and q1.gram = word) e
-left join {tab} q2 on q2.n = 2 and q2.gram = h1 || ' ' || word left join {tab} q3 on q3.n = 3 and q3.gram = h2 || ' ' || word
-left join (select * from {tab} where gram <> 'unk' or n > 1) b1 on b1.n = 1 and b1.gram = h1 left join {tab} b2 on b2.n = 2 and b2.gram = h2)
-select count(*) as tokens, round(pow(10, -avg(logp)), 6) as perplexity from scored"""
+    """Scores of the events from the shortest gram up: where the longer one isn't in the table, the shorter one's score and what the cut costs."""
+    out = f", {_EV}, k0 as materialized (select * from {tab} where gram <> 'unk' or n > 1), x1 as materialized (select e.*, coalesce(q.logp, (select -log10({_TOKENS if '0.4' in cut else _TYPES}))) as score from e left join k0 q on q.n = 1 and q.gram = word)"
+    for n in range(2, N + 1):
+        h = f"h{n - 1}"
+        out += f",\nx{n} as materialized (select x.* exclude (score), case when {h} is null then score else coalesce(q.logp, {cut} + score) end as score from x{n - 1} x left join k0 q on q.n = {n} and q.gram = {h} || ' ' || word left join k0 b on b.n = {n - 1} and b.gram = {h})"
+    return out + f"\nselect count(*) as tokens, round(pow(10, -avg(score)), 6) as perplexity from x{N}"
 
 
 _GT = "case when c > 1000 then c::double else c * pow(1 + 1 / c::double, slope) end"
@@ -245,24 +256,24 @@ SQL = {
     "gt_weighted_fit": _G + "z as (select 1) select n, round((wm * wxy - wx * wy) / (wm * wxx - wx * wx), 6) as slope from sums",
     "gt_direct": _G + "z as (select 1) select a.n, a.r, round((a.r + 1) * b.nr / a.nr, 6) as adjusted from cc a left join cc b on a.n = b.n and b.r = a.r + 1",
     "lm_wrap": "with " + base() + " select array_to_string(w, ' ') as sentence from s",
-    "lm_arpa_render": _G + _GSB.format(v=_TYPES, high=3) + "select n, printf('%.6f', logp) || chr(9) || gram || coalesce(chr(9) || printf('%.6f', bow), '') as line from gsb where n <= 3",
-    "ppl_events": "with " + _EV + " select word, coalesce(h2, h1) as hist from e",
+    "lm_arpa_render": _G + _GSB.format(v=_TYPES, high=N) + "select n, printf('%.6f', logp) || chr(9) || gram || coalesce(chr(9) || printf('%.6f', bow), '') as line from gsb",
+    "ppl_events": "with " + _EV + " select word, coalesce(h4, h3, h2, h1) as hist from e",
     "ppl_token_count": "with " + base("eval_items") + " select count(*) as tokens from (select unnest(w) as word from s) where word <> '<s>'",
-    "ppl_gsb": _G + _GSB.format(v=_TOKENS, high=3) + _ppl("gsb", "log10(0.4)"),
+    "ppl_gsb": _G + _GSB.format(v=_TOKENS, high=N) + _ppl("gsb", "log10(0.4)"),
     "ppl_gt": _G
     + _EV
     + f""", gt as (select c.n, gram, log10({_GT}) - log10(total) as logp from c join fit_std using (n)),
-k as (select case when h2 is not null then 3 when h1 is not null then 2 else 1 end as n, concat_ws(' ', coalesce(h2, h1), word) as gram from e)
+k as (select case when h4 is not null then 5 when h3 is not null then 4 when h2 is not null then 3 when h1 is not null then 2 else 1 end as n, concat_ws(' ', coalesce(h4, h3, h2, h1), word) as gram from e)
 select count(*) as tokens, round(pow(10, -avg(coalesce(gt.logp, log10(f.n1) - log10(f.total)))), 6) as perplexity from k left join gt using (n, gram) left join fit_std f using (n)""",
-    "ppl_kn": _table_sql("std", False) + _ppl("tab", "coalesce(b{}.bow, 0)"),
-    "ppl_mkn": _table_sql("std", True) + _ppl("tab", "coalesce(b{}.bow, 0)"),
+    "ppl_kn": _table_sql("std", False, N) + _ppl("tab", "coalesce(b.bow, 0)"),
+    "ppl_mkn": _table_sql("std", True, N) + _ppl("tab", "coalesce(b.bow, 0)"),
     "lm_gt_std_2": _G + f"z as (select 1) select n, gram, round(log10({_GT}) - log10(total), 6) as logp from c join fit_std using (n) where n = 2",
     "lm_kn_std_2": _kn_sql(2, "std", False),
     "lm_kn_std_3": _kn_sql(3, "std", False),
     "lm_mkn_std_3": _kn_sql(3, "std", True),
-    "lm_kn_table": _table_sql("ref", False) + "select n, gram, round(logp, 6) + 0 as logp, round(bow, 6) + 0 as bow from tab",
-    "lm_mkn_table": _table_sql("ref", True) + "select n, gram, round(logp, 6) + 0 as logp, round(bow, 6) + 0 as bow from tab",
-    "lm_kn_std_table": _table_sql("std", False) + "select n, gram, round(logp, 6) + 0 as logp, round(bow, 6) + 0 as bow from tab",
+    "lm_kn_std_5": _kn_sql(5, "std", False),
+    "lm_mkn_std_5": _kn_sql(5, "std", True),
+    **{f"lm_{m}{v}_table{'' if k == 3 else '_5'}": _table_sql(variant, m == "mkn", k) + "select n, gram, round(logp, 6) + 0 as logp, round(bow, 6) + 0 as bow from tab" for m in ("kn", "mkn") for v, variant in (("", "ref"), ("_std", "std")) for k in (3, N)},
 }
 for _n in range(1, N + 1):
     SQL[f"lm_ngram_{_n}"] = _G + f"z as (select 1) select n, gram, c from c where n = {_n}"
