@@ -66,15 +66,23 @@ def rule_occurrences(bitext: DataFrame, **limits) -> DataFrame:
     return bitext.select("row_id", "src", "tgt", "links").mapInArrow(run, "row_id bigint, src string, tgt string, align string")
 
 
-def symmetrised(both: DataFrame, diagonal: bool = True, final: str = "and") -> DataFrame:
-    """(row_id, align) of rows with forward and backward links."""
+#: Ways to make one set of links of two.
+METHODS = ("union", "intersect", "srctotgt", "tgttosrc", "grow", "grow-diag", "grow-final", "grow-final-and", "grow-diag-final", "grow-diag-final-and")
+
+
+def symmetrised(both: DataFrame, method: str = "grow-diag-final-and") -> DataFrame:
+    """(row_id, align) of rows with forward and backward links by one of METHODS; links sorted, a missing side is an empty one."""
+    if method not in METHODS:
+        raise ValueError(f"no method {method}")
+    diagonal, final = "diag" in method, "and" if method.endswith("and") else "or" if method.endswith("final") else ""
+    pick = {"union": lambda f, g: sorted(f | g), "intersect": lambda f, g: sorted(f & g), "srctotgt": lambda f, g: sorted(f), "tgttosrc": lambda f, g: sorted(g)}
+    make = pick.get(method, lambda f, g: K.grow_diag(f, g, diagonal, final))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for f, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                pair = ({(x["s"], x["t"]) for x in side or []} for side in (f, g))
-                out.append(" ".join(f"{s}-{t}" for s, t in K.grow_diag(*pair, diagonal, final)))
+                out.append(" ".join(f"{s}-{t}" for s, t in make(*({(x["s"], x["t"]) for x in side or []} for side in (f, g)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row_id", "align"])
 
     return both.select("row_id", "forward", "backward").mapInArrow(run, "row_id bigint, align string")

@@ -294,8 +294,8 @@ _CO = _B + ", co as (select row_id, j, tgt[j] as t, unnest(['<NULL>'] || src) as
 def _em(n: int) -> str:
     out = _CO
     for k in range(1, n + 1):
-        out += f", e{k} as (select s, t, sum(share) as c from (select row_id, j, s, t, p / sum(p) over (partition by row_id, j) as share from co join t{k - 1} using (s, t)) group by 1, 2), t{k} as (select s, t, c / sum(c) over (partition by s) as p from e{k})"
-    return out + f" select s, t, round(p, 6) as p from t{n}"
+        out += f", e{k} as materialized (select s, t, sum(share) as c from (select row_id, j, s, t, p / sum(p) over (partition by row_id, j) as share from co join t{k - 1} using (s, t)) group by 1, 2), t{k} as materialized (select s, t, c / sum(c) over (partition by s) as p from e{k})"
+    return out
 
 
 def _ibm1(n, spark, d):
@@ -303,7 +303,64 @@ def _ibm1(n, spark, d):
 
 
 for _n in (1, 2, 3):
-    QUERIES[f"ibm1_em_{_n}"], SQL[f"ibm1_em_{_n}"] = partial(_ibm1, _n), _em(_n)
+    QUERIES[f"ibm1_em_{_n}"], SQL[f"ibm1_em_{_n}"] = partial(_ibm1, _n), _em(_n) + f" select s, t, round(p, 6) as p from t{_n}"
+
+
+@query(_em(3) + ", x as (select row_id, j - 1 as j, i, round(p, 9) as p from (select row_id, j, tgt[j] as t, generate_subscripts(['<NULL>'] || src, 1) - 1 as i, unnest(['<NULL>'] || src) as s from b, range(1, len(tgt) + 1) u(j)) join t3 using (s, t)), y as (select row_id, j, first(i order by p desc, i) as i from x group by 1, 2) select row_id, cast(j as int) as j, cast(i - 1 as int) as i from y where i > 0")
+def wam_best_links(spark, d):
+    b = bitext(spark, d)
+    return A.best_links(b, written(A.ibm1(b, 3), "t"))
+
+
+@query(None)
+def wam_align(spark, d):
+    """The whole way: both directions by a schedule, symmetrised."""
+    return A.aligned(bitext(spark, d).select("row_id", "src", "tgt"), "1**H")
+
+
+_CO2 = _B + ", co as materialized (select row_id, len(src) as rows, len(tgt) as cols, j, tgt[j] as t, generate_subscripts(['<NULL>'] || src, 1) - 1 as i, unnest(['<NULL>'] || src) as s from b, range(1, len(tgt) + 1) u(j)), t0 as (select s, t, 1 / (select count(distinct t) from co) as p from (select distinct s, t from co)), a0 as (select i, j, rows, cols, 1 / (rows + 1) as p from (select distinct i, j, rows, cols from co))"
+
+
+def _em2(n: int) -> str:
+    out = _CO2
+    for k in range(1, n + 1):
+        out += f""", e{k} as materialized (select i, j, rows, cols, s, t, w / sum(w) over (partition by row_id, j) as share from (select co.*, t.p * a.p as w from co join t{k - 1} t using (s, t) join a{k - 1} a using (i, j, rows, cols))),
+t{k} as materialized (select s, t, c / sum(c) over (partition by s) as p from (select s, t, sum(share) as c from e{k} group by 1, 2)), a{k} as materialized (select i, j, rows, cols, c / sum(c) over (partition by j, rows, cols) as p from (select i, j, rows, cols, sum(share) as c from e{k} group by all))"""
+    return out
+
+
+@query(_em2(2) + " select s, t, round(p, 6) as p from t2")
+def ibm2_em_2(spark, d):
+    return _round(A.ibm2(bitext(spark, d), 2)[0])
+
+
+@query(_em2(2) + " select cast(i as int) as i, cast(j as int) as j, cast(rows as int) as rows, cast(cols as int) as cols, round(p, 6) as p from a2")
+def ibm2_places_2(spark, d):
+    return _round(A.ibm2(bitext(spark, d), 2)[1])
+
+
+def _hmm_sql(n: int) -> str:
+    """All alignments of a sentence are listed, each with its probability."""
+    out = _B + """, un as materialized (select distinct s, t from (select unnest(src) as s, tgt from b), unnest(tgt) u(t)), b1 as materialized (select src, tgt, count(*) as times from b group by 1, 2),
+z as (select max(len(src)) as m from b), t0 as (select s, t, 1 / (select count(distinct t) from un) as p from un), g0 as (select unnest(range(1 - m, m)) as d, 1 / (2 * m - 1) as p from z)"""
+    for k in range(1, n + 1):
+        out += f""", tr{k} as materialized (select r.rows, x, y, y - x as d, g.p / sum(g.p) over (partition by r.rows, x) as p from (select unnest(range(1, m + 1)) as rows from z) r, range(1, r.rows + 1) u(x), range(1, r.rows + 1) v(y) join g{k - 1} g on g.d = y - x),
+pa{k} as (select src, tgt, times, 1 as j, [i] as way, t.p / len(src) as w from b1, range(1, len(src) + 1) u(i) join t{k - 1} t on t.s = src[i] and t.t = tgt[1]
+  union all select src, tgt, times, j + 1, way || [y], w * tr.p * t.p from pa{k} join tr{k} tr on tr.rows = len(src) and tr.x = way[-1] join t{k - 1} t on t.s = src[y] and t.t = tgt[j + 1] where j < len(tgt)),
+wh{k} as materialized (select *, times * w / sum(w) over (partition by src, tgt) as q from pa{k} where j = len(tgt)),
+t{k} as materialized (select s, t, c / sum(c) over (partition by s) as p from (select src[way[k]] as s, tgt[k] as t, sum(q) as c from wh{k}, range(1, j + 1) u(k) group by 1, 2)),
+g{k} as materialized (select d, c / sum(c) over () as p from (select way[k] - way[k - 1] as d, sum(q) as c from wh{k}, range(2, j + 1) u(k) group by 1))"""
+    return out
+
+
+@query(_hmm_sql(2) + " select s, t, round(p, 6) as p from t2")
+def hmm_em_2(spark, d):
+    return _round(A.hmm(bitext(spark, d), 2)[0])
+
+
+@query(_hmm_sql(2) + " select cast(d as int) as d, round(p, 6) as p from g2")
+def hmm_jumps_2(spark, d):
+    return _round(A.hmm(bitext(spark, d), 2)[1])
 
 
 @query(_CO + " select s, t, round(p, 6) as p from t0")
@@ -367,6 +424,37 @@ def sym_grow_diag_final_and(spark, d):
     return X.symmetrised(_two_ways(spark, d))
 
 
+@query(_SY + " select b.row_id, coalesce(string_agg(s || '-' || t, ' ' order by s, t), '') as align from b left join f using (row_id) group by 1")
+def sym_srctotgt(spark, d):
+    return X.symmetrised(_two_ways(spark, d), "srctotgt")
+
+
+@query(_SY + " select b.row_id, coalesce(string_agg(s || '-' || t, ' ' order by s, t), '') as align from b left join (select distinct * from g) g using (row_id) group by 1")
+def sym_tgttosrc(spark, d):
+    return X.symmetrised(_two_ways(spark, d), "tgttosrc")
+
+
+@query(None)
+def sym_grow(spark, d):
+    return X.symmetrised(_two_ways(spark, d), "grow")
+
+
+@query(_B + ", lk as (select row_id, s, t, s - lag(s) over (partition by row_id order by t, s) as d from l), c as (select d, count(*) as c from lk where d is not null group by 1) select cast(d as int) as d, round(c / sum(c) over (), 6) as p from c")
+def norm_hmm(spark, d):
+    """Shares of the distances between the source places of links in the order of their target places."""
+    ls = bitext(spark, d).select(F.expr("array_sort(transform(links, x -> struct(x.t as t, x.s as s)))").alias("l"))
+    steps = ls.select(F.explode(F.expr("transform(filter(sequence(1, size(l)), k -> k > 1), k -> l[k - 1].s - l[k - 2].s)")).alias("d"))
+    return _round(A.normalised_jumps(steps.withColumn("c", F.lit(1))))
+
+
+@query(_B + ", lk as (select row_id, src[s + 1] as w, tgt[t + 1] as v, t - lag(t) over (partition by row_id order by s, t) as d from l join b using (row_id)), c as (select length(w) % 5 as sc, length(v) % 5 as tc, d, count(*) as c from lk where d is not null group by 1, 2, 3) select cast(sc as int) as sc, cast(tc as int) as tc, cast(d as int) as d, round(c / sum(c) over (partition by sc, tc), 6) as p from c")
+def norm_d4table(spark, d):
+    """Distortion shares by word classes (here by length) of either side."""
+    ls = bitext(spark, d).select("src", "tgt", F.expr("array_sort(links)").alias("l"))
+    steps = ls.select(F.explode(F.expr("transform(filter(sequence(1, size(l)), k -> k > 1), k -> struct(length(src[l[k - 1].s]) % 5 as sc, length(tgt[l[k - 1].t]) % 5 as tc, l[k - 1].t - l[k - 2].t as d))")).alias("x"))
+    return _round(A.normalised_classes(steps.select("x.*", F.lit(1).alias("c"))))
+
+
 _CL = """with s as (select ['<s>'] || string_split(phrasec, ' ') as t from phrase_combinete where phrasec is not null),
 w as (select word, count(*) as freq from (select unnest(t[2:]) as word from s) group by 1), cl as (select word, least(row_number() over (order by freq desc, word), 8) as class, freq from w),
 bi as (select t[k] as v, t[k + 1] as w, count(*) as n from s, range(1, len(t)) u(k) group by 1, 2), cb as (select v, class, cast(sum(n) as bigint) as n from bi join cl on w = word group by 1, 2),
