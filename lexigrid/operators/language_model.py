@@ -201,9 +201,9 @@ def kneser_ney(counts: DataFrame, high: int, modified: bool = False, variant: st
 
 
 def arpa(table: DataFrame) -> DataFrame:
-    """Rows as text: log probability, gram and, where there is one, the weight, with tabs between."""
+    """Rows as text: log probability (empty for a gram of probability 0), gram and, where there is one, the weight, with tabs between."""
     six = lambda c: F.format_string("%.6f", c)
-    return table.select("n", F.concat_ws("\t", six("logp"), "gram", F.when(F.col("bow").isNotNull(), six("bow"))).alias("line"))
+    return table.select("n", F.concat_ws("\t", F.when(F.col("logp").isNotNull(), six("logp")).otherwise(""), "gram", F.when(F.col("bow").isNotNull(), six("bow"))).alias("line"))
 
 
 # Perplexity
