@@ -91,3 +91,33 @@ def swap_slots(tokens_: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """log10 a - log10 b."""
     return F.log10(a) - F.log10(b)
+
+
+def span_text(toks: Column, start: Column | int, end: Column | int) -> Column:
+    """The words from place ``start`` to ``end`` (from 0, both included) with blanks between; what lies outside is left out."""
+    one = F.lit(start) if isinstance(start, int) else start
+    two = F.lit(end) if isinstance(end, int) else end
+    return F.array_join(F.slice(toks, F.greatest(one, F.lit(0)) + 1, F.greatest(two - F.greatest(one, F.lit(0)) + 1, F.lit(0))), " ")
+
+
+def packed_class(word: Column, cls: Column, classes: int) -> Column:
+    """A word id and a class from 0 to ``classes`` in one number."""
+    return word * (classes + 1) + cls
+
+
+def unpacked_class(packed: Column, classes: int) -> tuple[Column, Column]:
+    return F.floor(packed / (classes + 1)).cast("bigint"), F.pmod(packed, F.lit(classes + 1))
+
+
+def decimals(a: Column, b: Column, digits: int = 10) -> dict[str, Column]:
+    """Sum, difference, product, quotient (to ``digits`` places, null by zero), larger and smaller of two numbers in exact decimals."""
+    x, y = a.cast("decimal(18,4)"), b.cast("decimal(18,4)")
+    return {"plus": x + y, "minus": x - y, "times": x * y, "over": F.try_divide(x, y).cast(f"decimal(38,{digits})"), "larger": F.greatest(x, y), "smaller": F.least(x, y)}
+
+
+def token_pattern(toks: dict[str, Column], pattern: str) -> Column:
+    """All places where a pattern over tokens holds, as arrays of their attributes' texts. Tokens are rendered as attributes joined by underscores, blanks between, in the order of ``toks``; the pattern is a regular expression over that, as
+    ``w[0-9]+_NN w[0-9]+_VB``. Only whole tokens match: it is bounded by blanks or the ends."""
+    names = list(toks)
+    line = F.array_join(F.transform(F.arrays_zip(*(toks[n].alias(n) for n in names)), lambda x: F.concat_ws("_", *(x[n] for n in names))), " ")
+    return F.regexp_extract_all(line, F.lit(f"(?<![^ ])(?:{pattern})(?![^ ])"), F.lit(0))

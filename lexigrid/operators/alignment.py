@@ -325,11 +325,18 @@ def best_moves(bi: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return w.select(F.col("w").alias("word"), F.col("own").alias("class"), F.array_position("gains", F.col("gain")).alias("best"), "gain")
 
 
-def exchanged(bi: DataFrame, classes: DataFrame, k: int, rounds: int = 2) -> DataFrame:
-    """Rounds of moving every other word (by hash, so that neighbours don't all move at once) to its best class."""
-    for r in range(rounds):
-        m = best_moves(bi, classes, k).select("word", "best")
-        turn = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(2)) == r % 2
-        moved = classes.join(m, "word", "left").select("word", F.when(turn, F.coalesce("best", "class")).otherwise(F.col("class")).alias("class"), "freq")
-        classes = written(moved, "classes")
+def exchanged(bi: DataFrame, classes: DataFrame, k: int, passes: int = 3) -> DataFrame:
+    """Full passes of moving each word to its best class, half of the words at a time (by hash, so that neighbours don't all move at once); ends when a whole pass moves no word."""
+    bi = written(bi, "bigrams")
+    for _ in range(passes):
+        moves = 0
+        for half in (0, 1):
+            m = best_moves(bi, classes, k).where("best <> class").select("word", "best")
+            turn = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(2)) == half
+            moved = classes.join(m, "word", "left").withColumn("go", turn & F.col("best").isNotNull())
+            moved = written(moved.select("word", F.when(F.col("go"), F.col("best")).otherwise(F.col("class")).alias("class"), "freq", "go"), "classes")
+            moves += moved.where("go").count()
+            classes = moved.drop("go")
+        if not moves:
+            break
     return classes

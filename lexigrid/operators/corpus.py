@@ -19,19 +19,20 @@ def word_count(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(T.tokens(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def ranked(freq: DataFrame, reserved: list[str], first: int) -> DataFrame:
-    """(word, id, freq): reserved words from 0, the rest from ``first`` by descending count, ties by word.
+def numbered(df: DataFrame, order: list, name: str, first: int = 1) -> DataFrame:
+    """``df`` with ``name``: numbers from ``first`` in the given order, without one global window: rows are range-partitioned and sorted, each partition numbers its own, and the sizes of the earlier
+    partitions (one number a partition) are added. Partition numbers hold for one run only, so the numbered rows are written before they are read twice."""
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mono", F.monotonically_increasing_id())
+    s = written(s.withColumn("__part", F.shiftright("__mono", 33)).withColumn("__at", F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("__mono"), "numbered")
+    sizes = s.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    return s.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") + first).drop("__part", "__at", "__before")
 
-    Ranks come without one global window: the counts are range-partitioned and sorted, each partition numbers its rows, and the sizes of the earlier
-    partitions (one number a partition) are added. Partition numbers hold for one run only, so the numbered rows are written before they are read twice.
-    """
+
+def ranked(freq: DataFrame, reserved: list[str], first: int) -> DataFrame:
+    """(word, id, freq): reserved words from 0, the rest from ``first`` by descending count, ties by word."""
     f = freq.where(~F.col("word").isin(reserved)) if reserved else freq
-    s = f.repartitionByRange(F.desc("freq"), F.asc("word")).sortWithinPartitions(F.desc("freq"), F.asc("word"))
-    s = s.withColumn("mono", F.monotonically_increasing_id())
-    s = written(s.select("word", "freq", F.shiftright("mono", 33).alias("part"), F.col("mono").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranked")
-    sizes = s.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    rows = s.join(F.broadcast(before), "part").select("word", (F.col("before") + F.col("at") + first).alias("id"), "freq")
+    rows = numbered(f.select("word", "freq"), [F.desc("freq"), F.asc("word")], "id", first).select("word", "id", "freq")
     if not reserved:
         return rows
     head = freq.sparkSession.createDataFrame([(w, i) for i, w in enumerate(reserved)], "word string, id bigint")
@@ -91,14 +92,46 @@ def decode(encoded: DataFrame, dictionary: DataFrame, doc_id: str, head: int = H
     return t.select(doc_id, F.array_join("found", " ").alias("text"))
 
 
+def decode_rules(rules: DataFrame, dictionary: DataFrame, rule_id: str, toks: Column, head: int = HEAD) -> DataFrame:
+    """(rule_id, text): rule sides of word ids with the slot # as it is and #k as # and the word of id k; tokens without a word are left out."""
+    t = rules.select(rule_id, toks.alias("toks")).withColumn("items", F.transform("toks", lambda x: F.regexp_extract(x, r"^#?(\d+)$", 1).try_cast("bigint")))
+    f = looked_up(t, "items", dictionary, "id", "word", "id", head)
+    word = lambda x, i: F.when(x == "#", x).when(F.startswith(x, F.lit("#")), F.concat(F.lit("# "), F.get("found", i))).otherwise(F.get("found", i))
+    return f.select(rule_id, F.array_join(F.transform("toks", word), " ").alias("text"))
+
+
+def length_verdict(src: Column, tgt: Column | None, most: int, ratio: float | None = None) -> Column:
+    """Why a pair (or, without a target, a text) is no use: "empty", "long" (more than ``most`` tokens a side), "ratio" (one side more than ``ratio`` times the other); null for a sound one."""
+    sides = [F.size(src)] + ([F.size(tgt)] if tgt is not None else [])
+    lo, hi = (F.least(*sides), F.greatest(*sides)) if tgt is not None else (sides[0], sides[0])
+    out = F.when(lo < 1, "empty").when(hi > most, "long")
+    return out.when(hi > lo * ratio, "ratio") if ratio else out
+
+
 def within_length(df: DataFrame, src: Column, tgt: Column, most: int) -> DataFrame:
     """Rows whose sides both have between 1 and ``most`` tokens."""
-    return df.where(F.size(src).between(1, most) & F.size(tgt).between(1, most))
+    return df.where(length_verdict(src, tgt, most).isNull())
+
+
+def clean(df: DataFrame, src: Column, tgt: Column, most: int = 100, ratio: float = 9.0) -> tuple[DataFrame, DataFrame]:
+    """(sound rows, the others with ``verdict``)"""
+    told = df.withColumn("verdict", length_verdict(src, tgt, most, ratio))
+    return told.where("verdict is null").drop("verdict"), told.where("verdict is not null")
+
+
+def _die(key: str) -> Column:
+    """A number from 0 to 65535 that any engine can work out of a key: the first four digits of its MD5."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 4), 16, 10).cast("int")
 
 
 def hold_out(df: DataFrame, key: str, share: int = 10) -> DataFrame:
     """Every row with the part it belongs to, by a hash of its key: the same row always falls into the same part."""
-    return df.withColumn("part", F.when(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(100)) < share, "test").otherwise("train"))
+    return df.withColumn("part", F.when(F.pmod(_die(key), F.lit(100)) < share, "test").otherwise("train"))
+
+
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows without replacement (all, if there are fewer): those whose keys have the smallest hashes, so the same ones each time."""
+    return df.withColumn("__h", F.md5(F.col(key).cast("string").cast("binary"))).orderBy("__h", key).limit(n).drop("__h")
 
 
 def split_by_size(df: DataFrame, order: str, size: Column, most: int) -> DataFrame:
@@ -128,6 +161,17 @@ def truecase(docs: DataFrame, text: str = "text") -> DataFrame:
     return w.groupBy(F.lower("word").alias("lower")).agg(F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("cased"))
 
 
+def truecased(docs: DataFrame, model: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
+    """(doc_id, text): the first word of each line in its most frequent casing, the others as they are; words that the model lacks stay. Null texts stay null."""
+    lines = docs.select(doc_id, F.posexplode_outer(T.lines(text)).alias("at", "line"))
+    lines = lines.withColumn("first", F.regexp_extract("line", T.TOKEN, 0))
+    j = looked_up(lines.select(doc_id, "at", "line", "first", F.array(F.lower("first")).alias("items")), "items", model.withColumn("rank", F.length("lower")), "lower", "cased", "rank")
+    new = F.when(F.get("found", F.lit(0)).isNotNull(), F.concat(F.expr("substring_index(line, first, 1)"), F.get("found", F.lit(0)), F.expr("substring(line, length(substring_index(line, first, 1)) + length(first) + 1)"))).otherwise(F.col("line"))
+    j = j.select(doc_id, "at", F.when(F.col("first") == "", F.col("line")).otherwise(new).alias("line"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("at", "line")))), lambda x: x["line"]), "\n")
+    return j.groupBy(doc_id).agg(F.when(F.count("line") > 0, whole).alias("text"))
+
+
 def dev_blocks(src: DataFrame, ref: DataFrame, line_no: str, text: str) -> DataFrame:
     """Blocks of a source line, the mark of no tree, and its reference line."""
     r = ref.select(line_no, F.col(text).alias("ref"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 Link = tuple[int, int]
 
@@ -67,16 +68,24 @@ def null_words(rows: int, cols: int, links: set[Link]) -> tuple[list[int], list[
     return out[0], out[1]
 
 
-def rules(src: list[str], tgt: list[str], links: set[Link], max_span: int = 10, max_slots: int = 2, max_symbols: int = 5, min_words: int = 1, consecutive: bool = False, all_unaligned: bool = False) -> set[tuple[str, str, str]]:
-    """Hierarchical rules (lhs with #, rhs with #k, links of the terminals): initial phrases with up to max_slots smaller phrases taken out.
+class Rule(NamedTuple):
+    lhs: str
+    rhs: str
+    align: str
+    inverse: str
+    whole: tuple[int, int, int, int]
+    slots: tuple[tuple[int, int, int, int], ...]
+
+
+def rule_cases(src: list[str], tgt: list[str], links: set[Link], max_span: int = 10, max_slots: int = 2, max_symbols: int = 5, min_words: int = 1, consecutive: bool = False, all_unaligned: bool = False) -> Iterator[Rule]:
+    """Hierarchical rules (lhs with #, rhs with #k, links of the terminals from either side): initial phrases with up to max_slots smaller phrases taken out.
 
     Slots don't overlap, don't touch on the source side unless ``consecutive``, leave at least min_words terminals a side and at most max_symbols symbols, and at
-    least one aligned terminal unless ``all_unaligned``.
+    least one aligned terminal unless ``all_unaligned``. A rule comes once for each place it is found at.
     """
     rows, cols = len(src), len(tgt)
     spans = sorted(set(phrase_spans(rows, cols, links, max_span, max_span, False)))
     aligned = {s for s, _ in links}
-    out = set()
     for whole in spans:
         sc, ec, se, ee = whole
         inside = [x for x in spans if x != whole and sc <= x[0] and x[1] <= ec and se <= x[2] and x[3] <= ee]
@@ -96,8 +105,12 @@ def rules(src: list[str], tgt: list[str], links: set[Link], max_span: int = 10,
                 lhs, at_s = _render(src, sc, ec, [(a, b, "#") for a, b, _, _ in slots])
                 rhs, at_t = _render(tgt, se, ee, [(x[2], x[3], f"#{slots.index(x) + 1}") for x in by_e])
                 al = sorted((at_s[s], at_t[t]) for s, t in links if s in at_s and t in at_t)
-                out.add((lhs, rhs, " ".join(f"{i}-{j}" for i, j in al)))
-    return out
+                yield Rule(lhs, rhs, " ".join(f"{i}-{j}" for i, j in al), " ".join(f"{j}-{i}" for i, j in al), whole, slots)
+
+
+def rules(src: list[str], tgt: list[str], links: set[Link], **limits) -> set[tuple[str, str, str]]:
+    """(lhs, rhs, align) of ``rule_cases``, each once."""
+    return {r[:3] for r in rule_cases(src, tgt, links, **limits)}
 
 
 def _render(words: list[str], start: int, end: int, slots: list[tuple[int, int, str]]) -> tuple[str, dict[int, int]]:
@@ -144,12 +157,74 @@ def grow_diag(forward: set[Link], backward: set[Link], diagonal: bool = True, fi
 
 def span_kind(heads: list[int], start: int, end: int) -> str:
     """fixed: one word of the span has its head outside, and outside words hang on that word only. floating: the words with a head outside share it, and nothing outside hangs on the span. none otherwise."""
+    kind, flag, _ = span_syntax(heads, start, end, "any")
+    return "none" if flag else "floating" if "Floating" in kind else kind
+
+
+def span_syntax(heads: list[int], start: int, end: int, constraint: str = "wellformed") -> tuple[str, int, int]:
+    """(type, flag, head) of a span of a dependency tree. flag is 0 for a well-formed span.
+
+    A fixed span has one word with its head outside, its head. A floating one has a head of its own outside that all such words share: leftFloating if that head stands to the right, rightFloating if it
+    stands to the left (the root stands left of all). Well-formed are fixed spans on no word of which but the head anything outside hangs and, unless the constraint is "wellformed", floating ones on which nothing outside
+    hangs. Spans that aren't well-formed are typed without these conditions, floating ones as "other" under the constraint "relaxed".
+    """
     inside = range(start, end + 1)
     roots = [k for k in inside if not start <= heads[k] <= end]
+    over = {heads[k] for k in roots}
     hang = {heads[k] for k in range(len(heads)) if not start <= k <= end and start <= heads[k] <= end}
+    side = lambda: ("leftFloating" if min(over) > end else "rightFloating", min(over))
     if len(roots) == 1 and hang <= set(roots):
-        return "fixed"
-    return "floating" if roots and len({heads[k] for k in roots}) == 1 and not hang else "none"
+        return "fixed", 0, roots[0]
+    if constraint != "wellformed" and len(over) == 1 and not hang:
+        kind, head = side()
+        return kind, 0, head
+    if len(roots) == 1:
+        return "fixed", 1, roots[0]
+    if constraint != "relaxed" and len(over) == 1:
+        kind, head = side()
+        return kind, 1, head
+    return "other", 1, -1
+
+
+def local_heads(heads: list[int], start: int, end: int) -> list[int]:
+    """Heads from the span's own start, -1 where they lie outside."""
+    return [h - start if start <= h <= end else -1 for h in heads[start : end + 1]]
+
+
+def syntax_text(heads: list[int], start: int, end: int, constraint: str = "wellformed") -> str:
+    kind, flag, _ = span_syntax(heads, start, end, constraint)
+    return f"{kind}\t{flag}\t{' '.join(map(str, local_heads(heads, start, end)))}"
+
+
+def head_tag(heads: list[int], tags: list[str], start: int, end: int, constraint: str = "wellformed", keep_floating: bool = False) -> str:
+    """The tag of a fixed span's head (of a floating one's where that is wanted), X otherwise."""
+    kind, _, head = span_syntax(heads, start, end, constraint)
+    return tags[head] if 0 <= head < len(tags) and (kind == "fixed" or keep_floating and "Floating" in kind) else "X"
+
+
+def rule_syntax(heads: list[int], rule: Rule, constraint: str = "wellformed") -> str:
+    """Type and flag of the rule's target span, and for each symbol of the target side the symbol that it hangs on, -1 outside. A slot hangs where its own root does."""
+    _, _, se, ee = rule.whole
+    kind, flag, _ = span_syntax(heads, se, ee, constraint)
+    holes = sorted((x[2], x[3]) for x in rule.slots)
+    symbol, first = {}, []
+    k = se
+    while k <= ee:
+        end = next((b for a, b in holes if a == k), k)
+        for j in range(k, end + 1):
+            symbol[j] = len(first)
+        first.append((k, end))
+        k = end + 1
+    out = []
+    for a, b in first:
+        roots = [j for j in range(a, b + 1) if not a <= heads[j] <= b]
+        out.append(symbol.get(heads[roots[0]], -1) if roots else -1)
+    return f"{kind}\t{flag}\t{' '.join(map(str, out))}"
+
+
+def rule_tags(heads: list[int], tags: list[str], rule: Rule, constraint: str = "wellformed", separator: str = ";") -> str:
+    """Head tags of the rule's target span and of its slots in source order; ``separator`` is ; where all tags are kept apart and a comma for one frame."""
+    return separator.join(head_tag(heads, tags, x[2], x[3], constraint) for x in (rule.whole, *rule.slots))
 
 
 def schedule(text: str) -> list[tuple[str, int]]:

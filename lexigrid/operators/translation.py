@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.functions import text as T
 from lexigrid.operators import kernels as K
+from lexigrid.operators.corpus import numbered
 
 NULL = "<NULL>"
 _COLUMNS = [("row_id", "bigint"), ("src", "string"), ("tgt", "string"), ("align", "string"), ("sc", "int"), ("ec", "int"), ("se", "int"), ("ee", "int"), ("prev", "string"), ("next", "string")]
 
 
 def _sentences(b: pa.RecordBatch) -> Iterator[tuple[int, list[str], list[str], set]]:
-    for i, s, t, links in zip(*(c.to_pylist() for c in b.columns)):
+    for i, s, t, links in zip(*(c.to_pylist() for c in b.columns[:4])):
         yield i, s, t, {(x["s"], x["t"]) for x in links if 0 <= x["s"] < len(s) and 0 <= x["t"] < len(t)}
 
 
@@ -31,8 +34,7 @@ def phrases(bitext: DataFrame, max_c: int = 5, max_e: int = 5, extend: bool = Tr
                     al = " ".join(f"{x}-{y}" for x, y in K.inner_links(span, links))
                     rows.append((i, " ".join(s[sc : ec + 1]), " ".join(t[se : ee + 1]), al, *span, *K.orientation(span, len(s), len(t), links)))
             if rows:
-                kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), _COLUMNS)], names=[n for n, _ in _COLUMNS])
+                yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows), _COLUMNS)], names=[n for n, _ in _COLUMNS])
 
     return bitext.select("row_id", "src", "tgt", "links").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _COLUMNS))
 
@@ -53,6 +55,41 @@ def null_phrases(bitext: DataFrame) -> DataFrame:
     return bitext.select("row_id", "src", "tgt", "links").mapInArrow(run, "row_id bigint, src string, tgt string, align string")
 
 
+def phrases_with_syntax(bitext: DataFrame, max_c: int = 5, max_e: int = 5, constraint: str = "wellformed", keep_floating: bool = False) -> DataFrame:
+    """The columns of ``phrases`` with ``inverse`` (links from the target side), ``syntax`` (type, flag and heads of the target span) and ``tag`` (its head's), of rows with ``heads`` and ``pos`` of the target words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for (i, s, t, links), heads, tags in zip(_sentences(b), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                for span in K.phrase_spans(len(s), len(t), links, max_c, max_e):
+                    sc, ec, se, ee = span
+                    inner = K.inner_links(span, links)
+                    al, inverse = " ".join(f"{x}-{y}" for x, y in inner), " ".join(f"{y}-{x}" for x, y in inner)
+                    syntax, tag = K.syntax_text(heads, se, ee, constraint), K.head_tag(heads, tags, se, ee, constraint, keep_floating)
+                    rows.append((i, " ".join(s[sc : ec + 1]), " ".join(t[se : ee + 1]), al, *span, *K.orientation(span, len(s), len(t), links), inverse, syntax, tag))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows), _MORE)], names=[n for n, _ in _MORE])
+
+    return bitext.select("row_id", "src", "tgt", "links", "heads", "pos").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _MORE))
+
+
+_MORE = [*_COLUMNS, ("inverse", "string"), ("syntax", "string"), ("tag", "string")]
+_KINDS = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def syntax_columns(occurrences: DataFrame) -> DataFrame:
+    """(src, tgt, syntax, tags): shares of the syntax strings of a pair, most frequent first (ties by text), as ``share syntax`` joined by semicolons, and its distinct tags in order. A pair's strings are few, as its target side has few words."""
+    n = occurrences.groupBy("src", "tgt", "syntax").agg(F.count(F.lit(1)).alias("n"), F.collect_set("tag").alias("tags"))
+    per = n.groupBy("src", "tgt").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "syntax"))).alias("x"), F.sum("n").alias("every"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+    share = F.transform("x", lambda y: F.format_string("%.4f %s", -y["n"] / F.col("every"), y["syntax"]))
+    return per.select("src", "tgt", F.array_join(share, ";").alias("syntax"), F.array_join("tags", " ").alias("tags"))
+
+
+_RULES = [("row_id", "bigint"), ("src", "string"), ("tgt", "string"), ("align", "string")]
+_RULES_MORE = [*_RULES, ("inverse", "string"), ("weight", "double"), ("syntax", "string"), ("tags", "string"), ("frame", "string")]
+
+
 def rule_occurrences(bitext: DataFrame, **limits) -> DataFrame:
     """(row_id, src, tgt, align) of hierarchical rules, each once a sentence."""
 
@@ -60,10 +97,31 @@ def rule_occurrences(bitext: DataFrame, **limits) -> DataFrame:
         for b in batches:
             rows = [(i, *r) for i, s, t, links in _sentences(b) for r in sorted(K.rules(s, t, links, **limits))]
             if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.string()) for x in c[1:])], names=["row_id", "src", "tgt", "align"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows), _RULES)], names=[n for n, _ in _RULES])
 
-    return bitext.select("row_id", "src", "tgt", "links").mapInArrow(run, "row_id bigint, src string, tgt string, align string")
+    return bitext.select("row_id", "src", "tgt", "links").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _RULES))
+
+
+def rules_with_syntax(bitext: DataFrame, constraint: str = "wellformed", **limits) -> DataFrame:
+    """Rules once for each place in a sentence with ``inverse``, ``weight`` (1 over the rules of the same span, for fractional counts), ``syntax``, ``tags`` and ``frame`` of the target side, of rows with ``heads`` and ``pos``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for (i, s, t, links), heads, pos in zip(_sentences(b), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                cases = list(K.rule_cases(s, t, links, **limits))
+                of = Counter(r.whole for r in cases)
+                rows += [(i, r.lhs, r.rhs, r.align, r.inverse, 1 / of[r.whole], K.rule_syntax(heads, r, constraint), K.rule_tags(heads, pos, r, constraint), K.rule_tags(heads, pos, r, constraint, ",")) for r in cases]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows), _RULES_MORE)], names=[n for n, _ in _RULES_MORE])
+
+    return bitext.select("row_id", "src", "tgt", "links", "heads", "pos").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _RULES_MORE))
+
+
+def best_tags(occurrences: DataFrame, tags: str = "frame") -> DataFrame:
+    """(src, tgt, tags): the most frequent one of each pair, ties by text."""
+    n = occurrences.groupBy("src", "tgt", tags).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("src", "tgt").agg(F.min_by(tags, F.struct(-F.col("n"), F.col(tags))).alias("tags"))
 
 
 #: Ways to make one set of links of two.
@@ -123,11 +181,13 @@ def reorder_probs(pairs: DataFrame) -> DataFrame:
 
 
 def word_pairs(bitext: DataFrame) -> DataFrame:
-    """(s, t, c): linked words; an unaligned word stands with the null word."""
-    linked = bitext.select("src", "tgt", F.explode("links").alias("l")).select(F.get("src", F.col("l.s")).alias("s"), F.get("tgt", F.col("l.t")).alias("t"))
-    free_s = bitext.select(F.explode(F.expr("filter(transform(src, (w, i) -> if(exists(links, x -> x.s = i), null, w)), w -> w is not null)")).alias("s"), F.lit(NULL).alias("t"))
-    free_t = bitext.select(F.lit(NULL).alias("s"), F.explode(F.expr("filter(transform(tgt, (w, i) -> if(exists(links, x -> x.t = i), null, w)), w -> w is not null)")).alias("t"))
-    return linked.unionByName(free_s).unionByName(free_t).groupBy("s", "t").agg(F.count(F.lit(1)).alias("c"))
+    """(s, t, c): linked words; an unaligned word stands with the null word. One scan."""
+    linked = F.transform("links", lambda x: F.struct(F.get("src", x["s"]).alias("s"), F.get("tgt", x["t"]).alias("t")))
+    free = lambda side, k: F.expr(f"filter(transform({side}, (w, i) -> if(exists(links, x -> x.{k} = i), null, w)), w -> w is not null)")
+    null = F.lit(NULL)
+    free_s = F.transform(free("src", "s"), lambda w: F.struct(w.alias("s"), null.alias("t")))
+    free_t = F.transform(free("tgt", "t"), lambda w: F.struct(null.alias("s"), w.alias("t")))
+    return bitext.select(F.explode(F.concat(linked, free_s, free_t)).alias("x")).groupBy("x.s", "x.t").agg(F.count(F.lit(1)).alias("c"))
 
 
 def conditional(pairs: DataFrame, given: str, count: str = "c", least: float | None = None) -> DataFrame:
@@ -140,17 +200,38 @@ def conditional(pairs: DataFrame, given: str, count: str = "c", least: float | N
 
 def lexical_weight(pairs: DataFrame, lexicon: DataFrame, reverse: bool = False, name: str = "lex") -> DataFrame:
     """(src, tgt, lex): product over target words of the mean p(t|s) of their linked source words; an unlinked word has p(t|null), or 1 where there is none. ``reverse`` swaps the sides."""
-    src, tgt, a, b = ("tgt", "src", 1, 0) if reverse else ("src", "tgt", 0, 1)
-    words = pairs.select("src", "tgt", F.split(src, " ").alias("from"), F.posexplode(F.split(tgt, " ")).alias("at", "to"), F.filter(F.split("align", " "), lambda x: x != "").alias("al"))
-    side = lambda x, k: F.split(x, "-")[k].cast("int")
-    at = F.col("at")
-    linked = F.transform(F.filter("al", lambda x: side(x, b) == at), lambda x: F.get(F.col("from"), side(x, a)))
-    words = words.select("src", "tgt", "at", "to", F.when(F.size(linked) > 0, linked).otherwise(F.array(F.lit(NULL))).alias("linked"))
-    words = words.select("src", "tgt", "at", "to", F.explode("linked").alias("from"))
-    lex = lexicon.select(F.col("t" if reverse else "s").alias("from"), F.col("s" if reverse else "t").alias("to"), "p")
-    j = words.join(lex, ["from", "to"], "left")
-    each = j.groupBy("src", "tgt", "at").agg(F.avg(F.coalesce("p", F.when(F.col("from") == NULL, 1.0).otherwise(0.0))).alias("w"))
-    return each.groupBy("src", "tgt").agg(F.product("w").alias(name))
+    lex = lexicon.select("s", "t", F.col("p").alias("q" if reverse else "p"))
+    return _weights(pairs, lex, (1,) if reverse else (0,)).select("src", "tgt", F.col("lex_rev" if reverse else "lex").alias(name))
+
+
+def _weights(pairs: DataFrame, lex: DataFrame, sides: tuple[int, ...]) -> DataFrame:
+    """(src, tgt, lex, lex_rev) from a lexicon (s, t, p = p(t|s), q = p(s|t)): the word pairs of both directions are looked up in one join. A side that isn't asked for has weight 1."""
+    w = pairs.select("src", "tgt", F.split("src", " ").alias("a"), F.split("tgt", " ").alias("b"), F.transform(F.filter(F.split("align", " "), lambda x: x != ""), lambda x: F.struct(F.split(x, "-")[0].cast("int").alias("s"), F.split(x, "-")[1].cast("int").alias("t"))).alias("al"))
+    words = []
+    for side, (to, by) in enumerate((("b", "t"), ("a", "s"))):
+        if side not in sides:
+            continue
+        own, other, get = F.col(to), F.col("a" if side == 0 else "b"), "s" if side == 0 else "t"
+
+        def one(x, at):
+            from_ = F.transform(F.filter("al", lambda y: y[by] == at), lambda y: F.get(other, y[get]))
+            from_ = F.when(F.size(from_) > 0, from_).otherwise(F.array(F.lit(NULL)))
+            return F.transform(from_, lambda z: F.struct(F.lit(side).alias("side"), at.alias("at"), (z if side == 0 else x).alias("s"), (x if side == 0 else z).alias("t")))
+
+        words.append(F.flatten(F.transform(own, one)))
+    x = w.select("src", "tgt", F.explode(F.concat(*words)).alias("x")).select("src", "tgt", "x.*")
+    j = x.join(lex, ["s", "t"], "left")
+    have = {c for c in lex.columns}
+    p = F.when(F.col("side") == 0, F.col("p") if "p" in have else F.lit(None)).otherwise(F.col("q") if "q" in have else F.lit(None))
+    free = F.when(F.col("side") == 0, F.col("s")).otherwise(F.col("t")) == NULL
+    each = j.groupBy("src", "tgt", "side", "at").agg(F.avg(F.coalesce(p, F.when(free, 1.0).otherwise(0.0))).alias("w"))
+    return each.groupBy("src", "tgt").agg(F.coalesce(F.product(F.when(F.col("side") == 0, F.col("w"))), F.lit(1.0)).alias("lex"), F.coalesce(F.product(F.when(F.col("side") == 1, F.col("w"))), F.lit(1.0)).alias("lex_rev"))
+
+
+def lexical_weights(pairs: DataFrame, lex: DataFrame, lex_rev: DataFrame) -> DataFrame:
+    """(src, tgt, lex, lex_rev) of both directions, in one pass."""
+    both = lex.select("s", "t", "p").join(lex_rev.select("s", "t", F.col("p").alias("q")), ["s", "t"], "full")
+    return _weights(pairs, both, (0, 1))
 
 
 def count_fit(pairs: DataFrame, below: int = 1000) -> DataFrame:
@@ -198,7 +279,7 @@ def kneser_ney_scores(pairs: DataFrame, modified: bool = False) -> DataFrame:
 
 def phrase_table(pairs: DataFrame, lex: DataFrame, lex_rev: DataFrame) -> DataFrame:
     """(src, tgt, phi_rev, lex_rev, phi, lex, penalty)"""
-    j = with_totals(pairs).join(lexical_weight(pairs, lex, False, "lex"), ["src", "tgt"]).join(lexical_weight(pairs, lex_rev, True, "lex_rev"), ["src", "tgt"])
+    j = with_totals(pairs).join(lexical_weights(pairs, lex, lex_rev), ["src", "tgt"])
     return j.select("src", "tgt", (F.col("c") / F.col("te")).alias("phi_rev"), "lex_rev", (F.col("c") / F.col("tc")).alias("phi"), "lex", F.lit(2.718).alias("penalty"))
 
 
@@ -206,8 +287,7 @@ def rule_table(rules_: DataFrame, lex: DataFrame, lex_rev: DataFrame, direction:
     """Scored rules above the cutoff, with -1/count as a further feature; non-terminals don't enter lexical weights."""
     pairs = with_totals(rules_).where(F.col("c") > cutoff)
     slot = lambda k: F.when(F.col(k).rlike(r"^#\d*$"), 1.0)
-    one, two = (lexical_weight(pairs, x, r, n) for x, r, n in ((_slots(pairs, lex, slot), False, "lex"), (_slots(pairs, lex_rev, slot), True, "lex_rev")))
-    j = pairs.join(one, ["src", "tgt"]).join(two, ["src", "tgt"])
+    j = pairs.join(lexical_weights(pairs, _slots(pairs, lex, slot), _slots(pairs, lex_rev, slot)), ["src", "tgt"])
     score = {"phi_rev": F.col("c") / F.col("te"), "phi": F.col("c") / F.col("tc"), "lex": F.col("lex"), "lex_rev": F.col("lex_rev")}
     order = ("phi_rev", "lex_rev", "phi", "lex") if direction == "c2e" else ("phi", "lex", "phi_rev", "lex_rev")
     a, b = ("src", "tgt") if direction == "c2e" else ("tgt", "src")
@@ -224,6 +304,12 @@ def reorder_joined(table: DataFrame, probs: DataFrame) -> DataFrame:
     return table.select("src", "tgt", F.col("phi").alias("f0"), F.col("lex").alias("f1"), F.col("phi_rev").alias("f2"), F.col("lex_rev").alias("f3")).join(probs, ["src", "tgt"])
 
 
+def presorted(rows: DataFrame, name: str) -> DataFrame:
+    """(name, place): lines ``src ||| tgt ||| text`` of rows (src, tgt, text), numbered from 1 in the order of their pairs, by range partitions."""
+    r = rows.select(F.concat_ws(T.RESERVED, "src", "tgt", "text").alias(name), "src", "tgt")
+    return numbered(r, ["src", "tgt"], "place").select(name, "place")
+
+
 def tag_weights(df: DataFrame, keys: list[str], tags: str) -> DataFrame:
     """(keys, tag, weight): a histogram of ``tag weight;tag weight`` strings, summed by key."""
     t = df.where(F.col(tags).isNotNull()).select(*keys, F.explode(F.split(tags, ";")).alias("x"))

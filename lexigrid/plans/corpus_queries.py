@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.functions.written import written
+from lexigrid.operators import classify as K
 from lexigrid.operators import corpus as C
 from lexigrid.operators import joins as J
 from lexigrid.sources.tables import table
@@ -205,11 +207,19 @@ def topk_words(spark, d):
     return C.word_count(table(spark, d, "documents")).orderBy(F.desc("freq"), "word").limit(20)
 
 
-@query(None)
+_DIE = "('0x' || substr(md5(doc_id::varchar), 1, 4))::int"
+
+
+@query(f"select doc_id, case when {_DIE} % 100 < 10 then 'test' else 'train' end as part from documents")
 def split_holdout(spark, d):
     return C.hold_out(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
+@query("select doc_id from documents order by md5(doc_id::varchar), doc_id limit 50")
+def sample_rows(spark, d):
+    return C.sampled(table(spark, d, "documents").select("doc_id"), "doc_id", 50)
+
+
 @query("select words, row_number() over (order by words) as id from (select distinct words from n_gram where words is not null)")
 def ngram_index(spark, d):
     g = table(spark, d, "n_gram").where("words is not null").select(F.col("words").alias("word")).distinct().withColumn("freq", F.lit(1))
@@ -339,24 +349,99 @@ def partition_by_history(spark, d):
     return g.repartition("key").sortWithinPartitions("words")
 
 
-@query("select row_id, regexp_extract_all(line, 'w[0-9]+_NNS? w[0-9]+_VB[A-Z]*')[1] as hit from (select row_id, list_aggregate(list_transform(string_split(postaginfo, ' '), lambda x, i: 'w' || (i - 1) || '_' || x), 'string_agg', ' ') as line from phrase_combinete where postaginfo is not null) where regexp_matches(line, 'w[0-9]+_NNS? w[0-9]+_VB[A-Z]*')")
+@query("select row_id, regexp_extract_all(line, 'w[0-9]+_NNS? w[0-9]+_VB[A-Z]*( |$)') as hits from (select row_id, list_aggregate(list_transform(string_split(postaginfo, ' '), lambda x, i: 'w' || (i - 1) || '_' || x), 'string_agg', ' ') as line from phrase_combinete where postaginfo is not null)".replace("regexp_extract_all(line, 'w[0-9]+_NNS? w[0-9]+_VB[A-Z]*( |$)') as hits", "list_aggregate(list_transform(regexp_extract_all(line, 'w[0-9]+_NNS? w[0-9]+_VB[A-Z]*(?: |$)'), lambda x: trim(x)), 'string_agg', '|') as hits"))
 def token_regex(spark, d):
-    """First noun that a verb follows, by a pattern over word_tag tokens."""
-    tags = T.terms("postaginfo")
-    p = table(spark, d, "phrase_combinete").where("postaginfo is not null")
-    line = F.array_join(F.transform(tags, lambda x, i: F.concat(F.lit("w"), i.cast("string"), F.lit("_"), x)), " ")
-    return p.select("row_id", F.regexp_extract(line, r"w[0-9]+_NNS? w[0-9]+_VB[A-Z]*", 0).alias("hit")).where("hit <> ''")
+    """Nouns that a verb follows, by a pattern over word_tag tokens."""
+    p = table(spark, d, "phrase_combinete").where("postaginfo is not null").select("row_id", T.terms("postaginfo").alias("tags"))
+    words = F.transform("tags", lambda x, i: F.concat(F.lit("w"), i.cast("string")))
+    hits = F.array_join(T.token_pattern({"word": words, "tag": F.col("tags")}, r"w[0-9]+_NNS? w[0-9]+_VB[A-Z]*"), "|")
+    return p.select("row_id", F.when(hits != "", hits).alias("hits"))
 
 
 @query(None)
 def classify_language(spark, d):
-    """Documents with the language that a classifier over hashed characters gives them, learned on all labelled ones."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, StringIndexer
-
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "lang", F.split("text", "").alias("chars"))
-    x = HashingTF(inputCol="chars", outputCol="features", numFeatures=1024).transform(docs)
-    index = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc").fit(x.where("lang is not null"))
-    model = LogisticRegression(maxIter=20).fit(index.transform(x.where("lang is not null")))
-    names = F.array(*(F.lit(n) for n in index.labels))
-    return model.transform(x).select("doc_id", "lang", F.get(names, F.col("prediction").cast("int")).alias("predicted"))
+    """Documents with the language that a classifier over hashed characters gives them, learned on nine tenths of the labelled ones."""
+    return K.predicted(table(spark, d, "documents").select("doc_id", "text", "lang"), "text", "lang", "doc_id").select("doc_id", "lang", "part", "predicted")
+
+
+@query(None)
+def classify_accuracy(spark, d):
+    return K.accuracy(K.predicted(table(spark, d, "documents").select("doc_id", "text", "lang"), "text", "lang", "doc_id"), "lang")
+
+
+@query("select words from n_gram where words is not null intersect select words from ngram_join where words is not null")
+def set_intersect(spark, d):
+    pick = lambda t: table(spark, d, t).where("words is not null").select("words")
+    return pick("n_gram").intersect(pick("ngram_join"))
+
+
+@query("select words, shard, num from ngram_join where words is not null")
+def partition_by_pair(spark, d):
+    """Rows laid out by a pair of columns."""
+    return table(spark, d, "ngram_join").where("words is not null").select("words", "shard", "num").repartition("words", "shard")
+
+
+@query(f"select doc_id, array_to_string(({_TOK})[2:4], ' ') as part from documents")
+def span_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.span_text(T.tokens("text"), 1, 3).alias("part"))
+
+
+@query("select rec_id, shard::bigint * 51 + num % 51 as packed, shard::bigint as word, num % 51 as class from ngram_join where num is not null and num >= 0 and shard is not null")
+def class_pack(spark, d):
+    g = table(spark, d, "ngram_join").where("num >= 0 and shard is not null").select("rec_id", T.packed_class(F.col("shard").cast("bigint"), F.col("num") % 51, 50).alias("packed"))
+    word, cls = T.unpacked_class(F.col("packed"), 50)
+    return g.select("rec_id", "packed", word.alias("word"), cls.alias("class"))
+
+
+@query("select o_orderkey, round((o_totalprice::decimal(18,4) + o_custkey)::double, 4) as plus, round((o_totalprice::decimal(18,4) - o_custkey)::double, 4) as minus, round((o_totalprice::decimal(18,4) * o_custkey)::double, 4) as times, case when o_custkey <> 0 then round(o_totalprice * 100)::bigint * 10 // o_custkey end as over_thousandths, round(greatest(o_totalprice::decimal(18,4), o_custkey)::double, 4) as larger, round(least(o_totalprice::decimal(18,4), o_custkey)::double, 4) as smaller from orders")
+def math_decimals(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", *(F.floor(x * 1000).cast("bigint").alias("over_thousandths") if k == "over" else F.round(x.cast("double"), 4).alias(k) for k, x in T.decimals(F.col("o_totalprice"), F.col("o_custkey")).items()))
+
+
+@query("with r as (select row_id, string_split(case when len(string_split(phrasec, ' ')) > 1 then '# ' || phrasec || ' #1' else phrasec end, ' ') as w from phrase_combinete where phrasec is not null) select row_id, len(list_filter(w, lambda x: regexp_full_match(x, '#[0-9]*'))) as slots, array_to_string(list_transform(w, lambda x: case x when '#' then '#1' when '#1' then '#' else x end), ' ') as turned from r")
+def rule_slots(spark, d):
+    """Non-terminals of a rule side, and the side with its slots' tags as they are seen from the other side."""
+    p = table(spark, d, "phrase_combinete").where("phrasec is not null").select("row_id", T.terms("phrasec").alias("w"))
+    p = p.withColumn("w", F.when(F.size("w") > 1, F.concat(F.array(F.lit("#")), "w", F.array(F.lit("#1")))).otherwise(F.col("w")))
+    return p.select("row_id", F.size(F.filter("w", T.is_slot)).cast("bigint").alias("slots"), F.array_join(T.swap_slots(F.col("w")), " ").alias("turned"))
+
+
+@query("select row_id, array_to_string(list_transform(string_split(phrasec, ' '), lambda x, i: case when i = 1 then '#' when i = 2 then '# ' || x else x end), ' ') as text from phrase_combinete where phrasec is not null")
+def rule_decode(spark, d):
+    """Rule sides of word ids (the first word a slot, the second one a slot with its word) in words again."""
+    p = table(spark, d, "phrase_combinete").where("phrasec is not null").select("row_id", T.terms("phrasec").alias("w"))
+    words = p.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    dic = written(C.ranked(words, [], 2), "dictionary")
+    e = C.encode(p, dic, "row_id", F.col("w"))
+    toks = F.transform("ids", lambda x, i: F.when(i == 0, "#").when(i == 1, F.concat(F.lit("#"), x.cast("string"))).otherwise(x.cast("string")))
+    return C.decode_rules(e, dic, "row_id", toks)
+
+
+@query(f"with dict as ({_dict(['UNK', '<s>'], 2)}), t as (select doc_id, {_TOK} as w from documents), e as (select doc_id, string_agg(coalesce(id, 0)::varchar, ' ' order by k) as ids from (select doc_id, k, w[k] as word from t, range(1, len(w) + 1) u(k)) left join dict using (word) group by 1) select doc_id, coalesce(ids, '') as ids from documents left join e using (doc_id)")
+def class_encode(spark, d):
+    """Documents as word ids for the training of classes."""
+    e = C.encode(table(spark, d, "documents"), dict_class(spark, d), "doc_id", T.tokens("text"))
+    return e.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+_SIZES = "select row_id, coalesce(len(string_split(phrasec, ' ')), 0) as a, coalesce(len(string_split(phrasee, ' ')), 0) as b from phrase_combinete"
+
+
+@query(f"select row_id, case when least(a, b) < 1 then 'empty' when greatest(a, b) > 4 then 'long' when greatest(a, b) > least(a, b) * 2.5 then 'ratio' end as verdict from ({_SIZES}) where least(a, b) < 1 or greatest(a, b) > 4 or greatest(a, b) > least(a, b) * 2.5")
+def clean_rejects(spark, d):
+    """What a length and ratio filter leaves out, and why."""
+    p = table(spark, d, "phrase_combinete").select("row_id", *(F.coalesce(T.terms(c), F.array()).alias(c) for c in ("phrasec", "phrasee")))
+    return C.clean(p, F.col("phrasec"), F.col("phrasee"), 4, 2.5)[1].select("row_id", "verdict")
+
+
+@query("select doc_id from documents where len(" + _TOK + ") <= 100 and text is not null")
+def filter_one_side(spark, d):
+    t = table(spark, d, "documents").where("text is not null")
+    return t.where(F.size(T.tokens("text")) <= 100).select("doc_id")
+
+
+@query(f"with w as ({_FREQ}), m as (select lower(word) as lower, first(word order by freq desc, word) as cased from w group by 1), l as (select doc_id, k, (string_split(text, chr(10)))[k] as line from documents, range(1, len(string_split(text, chr(10))) + 1) u(k) where text is not null), f as (select *, regexp_extract(line, '{T.TOKEN}') as first from l), j as (select f.*, case when first = '' or cased is null then line else split_part(line, first, 1) || cased || substr(line, length(split_part(line, first, 1)) + length(first) + 1) end as new from f left join m on m.lower = lower(first)) select doc_id, string_agg(new, chr(10) order by k) as text from j group by 1 union all select doc_id, null from documents where text is null")
+def truecase_apply(spark, d):
+    docs = table(spark, d, "documents")
+    return C.truecased(docs, C.truecase(docs), "doc_id")

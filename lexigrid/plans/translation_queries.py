@@ -10,6 +10,7 @@ from lexigrid.functions import text as T
 from lexigrid.functions.written import written
 from lexigrid.operators import alignment as A
 from lexigrid.operators import corpus as C
+from lexigrid.operators import dependency as Y
 from lexigrid.operators import translation as X
 from lexigrid.plans.corpus_queries import bitext
 from lexigrid.sources.tables import table
@@ -65,7 +66,7 @@ def _kept(spark, d, oriented: bool = False):
 
 
 def _lex(spark, d):
-    w = X.word_pairs(bitext(spark, d))
+    w = written(X.word_pairs(bitext(spark, d)), "lexicon")
     return X.conditional(w, "s"), X.conditional(w, "t")
 
 
@@ -163,8 +164,7 @@ lr as (select src, tgt, product(w) as lex_rev from (select src, tgt, k, case whe
 
 @query(_P + _LW + "select src, tgt, round(lex, 6) as lex, round(lex_rev, 6) as lex_rev from lw join lr using (src, tgt)")
 def phrase_lexweight(spark, d):
-    p, (a, b) = _kept(spark, d), _lex(spark, d)
-    return _round(X.lexical_weight(p, a).join(X.lexical_weight(p, b, True, "lex_rev"), ["src", "tgt"]))
+    return _round(X.lexical_weights(_kept(spark, d), *_lex(spark, d)))
 
 
 _PT = "select src, tgt, round(c / te, 6) as phi_rev, round(lex_rev, 6) as lex_rev, round(c / tc, 6) as phi, round(lex, 6) as lex, 2.718::double as penalty from wt join lw using (src, tgt) join lr using (src, tgt)"
@@ -210,6 +210,28 @@ def _rules(spark, d):
     return X.rule_occurrences(bitext(spark, d))
 
 
+_R1 = """, ip as (select row_id, lo::int as sc, hi::int as ec, se::int as se, ee::int as ee from ok where exists (select 1 from l where l.row_id = ok.row_id and l.t = ok.se) and exists (select 1 from l where l.row_id = ok.row_id and l.t = ok.ee)),
+w0 as (select row_id, sc, ec, se, ee, null::int as xc, null::int as yc, null::int as xe, null::int as ye from ip),
+w1 as (select a.row_id, a.sc, a.ec, a.se, a.ee, b.sc, b.ec, b.se, b.ee from ip a join ip b on a.row_id = b.row_id and a.sc <= b.sc and b.ec <= a.ec and a.se <= b.se and b.ee <= a.ee where (a.sc, a.ec, a.se, a.ee) <> (b.sc, b.ec, b.se, b.ee)),
+ws as materialized (select row_number() over () as k, x.*, src as a, tgt as b from (select * from w0 union all select * from w1) x join b using (row_id)),
+li as (select k, l.s, l.t, case when xc is null or l.s < xc then l.s - sc else l.s - sc - (yc - xc) end as s2, case when xe is null or l.t < xe then l.t - se else l.t - se - (ye - xe) end as t2 from ws join l on l.row_id = ws.row_id and l.s between sc and ec and l.t between se and ee and (xc is null or (l.s not between xc and yc and l.t not between xe and ye))),
+ag as (select k, string_agg(s2 || '-' || t2, ' ' order by s2, t2) as align from li group by 1),
+ru as (select ws.row_id, ws.k, se, ee, xe, ye, case when xc is null then array_to_string(a[sc + 1 : ec + 1], ' ') else trim(array_to_string(a[sc + 1 : xc], ' ') || ' # ' || array_to_string(a[yc + 2 : ec + 1], ' ')) end as src, case when xc is null then array_to_string(b[se + 1 : ee + 1], ' ') else trim(array_to_string(b[se + 1 : xe], ' ') || ' #1 ' || array_to_string(b[ye + 2 : ee + 1], ' ')) end as tgt, align
+  from ws join ag using (k) where (ec - sc + 1) - coalesce(yc - xc + 1, 0) >= 1 and (ee - se + 1) - coalesce(ye - xe + 1, 0) >= 1 and (ec - sc + 1) - coalesce(yc - xc, 0) <= 5 and (ee - se + 1) - coalesce(ye - xe, 0) <= 5)
+"""
+
+
+@query(_P + _R1 + "select distinct row_id, src, tgt, align from ru")
+def rule_extract_1(spark, d):
+    """Rules of at most one slot."""
+    return X.rule_occurrences(bitext(spark, d), max_slots=1)
+
+
+@query(_P + _R1 + "select src, tgt, first(align order by n desc, align) as align, cast(sum(n) as bigint) as c from (select src, tgt, align, count(*) as n from (select distinct row_id, src, tgt, align from ru) group by 1, 2, 3) group by 1, 2")
+def rule_best_align_1(spark, d):
+    return X.best_align(X.count_by_align(X.rule_occurrences(bitext(spark, d), max_slots=1), False), False)
+
+
 @query(None)
 def rule_extract(spark, d):
     return _rules(spark, d)
@@ -232,6 +254,109 @@ def rule_table(spark, d):
     return _round(X.rule_table(r, *_lex(spark, d), cutoff=1))
 
 
+# Syntax of the target side: heads of a balanced tree, tags by word length.
+
+
+def _parsed(spark, d):
+    heads, tags = X.heap_heads(F.size("tgt")), F.transform("tgt", lambda w: F.concat(F.lit("T"), (F.length(w) % 4).cast("string")))
+    return bitext(spark, d).withColumn("heads", heads).withColumn("pos", tags)
+
+
+_DEP = """, hd as (select row_id, k::int as k, case when k = 0 then -1 else (k - 1) // 2 end as h, 'T' || (length(tgt[k + 1]) % 4) as tag from b, range(0, len(tgt)) u(k)),
+dsp as (select row_id, st::int as se, en::int as ee from b, range(0, len(tgt)) u(st), range(st, len(tgt)) v(en)),
+dx as (select dsp.row_id, se, ee, list(k) filter (k between se and ee and h not between se and ee) as roots, list(distinct h) filter (k between se and ee and h not between se and ee) as over, coalesce(list(distinct h) filter (k not between se and ee and h between se and ee), []) as hang,
+  string_agg(case when h between se and ee then h - se else -1 end, ' ' order by k) filter (k between se and ee) as local from dsp join hd using (row_id) group by 1, 2, 3),
+dt as (select *, len(roots) = 1 and len(list_filter(hang, lambda z: z <> roots[1])) = 0 as tight from dx),
+dep as materialized (select dt.row_id, se, ee, case when tight or len(roots) = 1 then 'fixed' when len(over) = 1 then case when over[1] > ee then 'leftFloating' else 'rightFloating' end else 'other' end as kind, case when tight then 0 else 1 end as flag, local, case when len(roots) = 1 then hd.tag else 'X' end as tag from dt left join hd on hd.row_id = dt.row_id and hd.k = roots[1])
+"""
+_PS = _P + _DEP + ", ps as (select p.*, kind || chr(9) || flag || chr(9) || local as syntax, tag from p join dep using (row_id, se, ee))"
+
+
+@query(_PS + " select row_id, src, tgt, align, array_to_string(list_transform(string_split(align, ' '), lambda x: split_part(x, '-', 2) || '-' || split_part(x, '-', 1)), ' ') as inverse, sc, ec, se, ee, syntax, tag from ps")
+def phrase_syntax(spark, d):
+    return X.phrases_with_syntax(_parsed(spark, d)).drop("prev", "next")
+
+
+_SC = ", sh as (select src, tgt, syntax, count(*) as n from ps group by 1, 2, 3), sy as (select src, tgt, string_agg(printf('%.4f', n / e) || ' ' || syntax, ';' order by n desc, syntax) as syntax from (select *, sum(n) over (partition by src, tgt) as e from sh) group by 1, 2), tg as (select src, tgt, string_agg(tag, ' ' order by tag) as tags from (select distinct src, tgt, tag from ps) group by 1, 2)"
+
+
+@query(_PS + _SC + " select src, tgt, syntax, tags from sy join tg using (src, tgt)")
+def phrase_syntax_columns(spark, d):
+    return X.syntax_columns(X.phrases_with_syntax(_parsed(spark, d)))
+
+
+@query(_PS + _SC + _LW + f", pt as ({_PT}) select pt.*, syntax, tags from pt join sy using (src, tgt) join tg using (src, tgt)")
+def phrase_table_syntax(spark, d):
+    o = written(X.phrases_with_syntax(_parsed(spark, d)).select("src", "tgt", "align", "syntax", "tag"), "occurrences")
+    pairs = written(X.best_align(X.count_by_align(o, False), False), "pairs")
+    return _round(X.phrase_table(pairs, *_lex(spark, d))).join(X.syntax_columns(o), ["src", "tgt"])
+
+
+@query(None)
+def rule_syntax(spark, d):
+    return _round(X.rules_with_syntax(_parsed(spark, d)))
+
+
+@query(_PS + _R1 + ", n as (select *, 1 / count(*) over (partition by row_id, se, ee) as weight from ru) select src, tgt, round(sum(weight), 6) as c from n group by 1, 2")
+def rule_fractional(spark, d):
+    """Counts of rules of at most one slot in which each span's rules share one."""
+    return _round(X.rules_with_syntax(_parsed(spark, d), max_slots=1).groupBy("src", "tgt").agg(F.sum("weight").alias("c")))
+
+
+@query(None)
+def rule_best_tags(spark, d):
+    return X.best_tags(X.rules_with_syntax(_parsed(spark, d)))
+
+
+@query(_P + _LW + _PT.replace("select src, tgt, ", "select src, tgt, ", 1).replace(", 2.718::double as penalty", "").replace("select src, tgt, round(c / te, 6) as phi_rev, round(lex_rev, 6) as lex_rev, round(c / tc, 6) as phi, round(lex, 6) as lex", "select src || ' ||| ' || tgt || ' ||| ' || printf('%.9f %.9f %.9f %.9f', c / tc, lex, c / te, lex_rev) as phrase, row_number() over (order by src, tgt) as place"))
+def presort_phrases(spark, d):
+    """Lines of a phrase table in the order of its pairs, scores in the order 2, 3, 0, 1."""
+    t = X.phrase_table(_kept(spark, d), *_lex(spark, d))
+    return X.presorted(t.select("src", "tgt", F.format_string("%.9f %.9f %.9f %.9f", "phi", "lex", "phi_rev", "lex_rev").alias("text")), "phrase")
+
+
+@query(_P + f", rp as ({_RP}) select src || ' ||| ' || tgt || ' ||| ' || printf('%.6f %.6f %.6f %.6f %.6f %.6f', m, s, o, t, n, p) as reorder, row_number() over (order by src, tgt) as place from rp")
+def presort_reorder(spark, d):
+    """Lines of the reordering table beside it."""
+    t = _round(X.reorder_probs(_pairs(spark, d)))
+    return X.presorted(t.select("src", "tgt", F.format_string("%.6f %.6f %.6f %.6f %.6f %.6f", "m", "s", "o", "t", "n", "p").alias("text")), "reorder")
+
+
+@query(_B + ", hd as (select row_id, k::int as k, case when k = 0 then -1 else (k - 1) // 2 end as h from b, range(0, len(tgt)) u(k)) select a.row_id, a.k as word, coalesce(string_agg(c.k, ' ' order by c.k), '') as children from hd a left join hd c on c.row_id = a.row_id and c.h = a.k group by 1, 2")
+def dep_children(spark, d):
+    p = _parsed(spark, d).select("row_id", "heads", F.explode(F.sequence(F.lit(0), F.size("heads") - 1)).alias("word"))
+    return p.select("row_id", "word", F.array_join(Y.children("heads", "word"), " ").alias("children"))
+
+
+_WAY = ", hd as (select row_id, k::int as k, case when k = 0 then -1 else (k - 1) // 2 end as h from b, range(0, len(tgt)) u(k)), up as (select row_id, k, k as node, 0 as step from hd union all select up.row_id, up.k, hd.h, step + 1 from up join hd on hd.row_id = up.row_id and hd.k = up.node where hd.h >= 0)"
+
+
+@query(_B + _WAY + " select row_id, k as word, string_agg(node, ' ' order by step) as path from up group by 1, 2")
+def dep_path(spark, d):
+    p = _parsed(spark, d).select("row_id", "heads", F.explode(F.sequence(F.lit(0), F.size("heads") - 1)).alias("word"))
+    return p.select("row_id", "word", F.array_join(Y.path_to_root("heads", "word"), " ").alias("path"))
+
+
+@query(_B + _WAY + " select row_id, cast(node as int) as word, string_agg(k, ' ' order by k) as yield from up group by 1, 2")
+def dep_yield(spark, d):
+    return Y.subtree(_parsed(spark, d), ["row_id"], "heads").select("row_id", "word", F.array_join("yield", " ").alias("yield"))
+
+
+@query("select row_id, cast(k - 1 as int) as at, 'w' || (k - 1) as token, w[k] as tag, 'L' || (k % 3) as label, cast(case when k = 1 then -1 else (k - 2) // 2 end as int) as head from (select row_id, string_split(postaginfo, ' ') as w from phrase_combinete where postaginfo is not null), range(1, len(w) + 1) u(k)")
+def dep_mst_parse(spark, d):
+    p = table(spark, d, "phrase_combinete").where("postaginfo is not null").select("row_id", T.terms("postaginfo").alias("w"))
+    line = lambda f: F.array_join(F.transform("w", f), "\t")
+    text = F.concat_ws("\n", line(lambda x, i: F.concat(F.lit("w"), i.cast("string"))), line(lambda x, i: x), line(lambda x, i: F.concat(F.lit("L"), ((i + 1) % 3).cast("string"))), line(lambda x, i: F.when(i == 0, 0).otherwise(F.floor((i - 1) / 2) + 1).cast("string")))
+    return p.select("row_id", F.inline(Y.from_mst(text)))
+
+
+@query("select row_id, 'L' || (k % 3) as label, cast(case when k = 1 then -1 else (k - 2) // 2 end as int) as head, cast(k - 1 as int) as word from (select row_id, string_split(postaginfo, ' ') as w from phrase_combinete where postaginfo is not null), range(1, len(w) + 1) u(k)")
+def dep_stanford_parse(spark, d):
+    p = table(spark, d, "phrase_combinete").where("postaginfo is not null").select("row_id", T.terms("postaginfo").alias("w"))
+    one = lambda x, i: F.concat(F.lit("L"), ((i + 1) % 3).cast("string"), F.lit("(h-"), F.when(i == 0, 0).otherwise(F.floor((i - 1) / 2) + 1).cast("string"), F.lit(", "), x, F.lit("-"), (i + 1).cast("string"), F.lit(")"))
+    return p.select("row_id", F.inline(Y.from_stanford(F.array_join(F.transform("w", one), "\n"))))
+
+
 @query("with x as (select phrasec, phrasee, unnest(string_split(syntaxinfo, ';')) as x from phrase_combinete where syntaxinfo is not null) select phrasec, phrasee, split_part(x, ' ', 1) as tag, cast(sum(cast(split_part(x, ' ', 2) as bigint)) as bigint) as weight from x group by 1, 2, 3")
 def syntax_hist(spark, d):
     return X.tag_weights(table(spark, d, "phrase_combinete"), ["phrasec", "phrasee"], "syntaxinfo")
@@ -455,6 +580,8 @@ def norm_d4table(spark, d):
     return _round(A.normalised_classes(steps.select("x.*", F.lit(1).alias("c"))))
 
 
+#: Word classes of a side.
+CLASSES = 50
 _CL = """with s as (select ['<s>'] || string_split(phrasec, ' ') as t from phrase_combinete where phrasec is not null),
 w as (select word, count(*) as freq from (select unnest(t[2:]) as word from s) group by 1), cl as (select word, least(row_number() over (order by freq desc, word), 8) as class, freq from w),
 bi as (select t[k] as v, t[k + 1] as w, count(*) as n from s, range(1, len(t)) u(k) group by 1, 2), cb as (select v, class, cast(sum(n) as bigint) as n from bi join cl on w = word group by 1, 2),
@@ -462,10 +589,10 @@ cs as (select class, cast(sum(freq) as bigint) as n from cl group by 1)
 """
 
 
-def _classes(spark, d):
-    s = table(spark, d, "phrase_combinete").where("phrasec is not null").select(T.terms("phrasec").alias("tokens"))
+def _classes(spark, d, side="phrasec", k=8):
+    s = table(spark, d, "phrase_combinete").where(F.col(side).isNotNull()).select(T.terms(side).alias("tokens"))
     freq = s.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    return A.bigrams(s), A.first_classes(C.ranked(freq, [], 1), 8)
+    return A.bigrams(s), A.first_classes(C.ranked(freq, [], 1), k)
 
 
 @query(_CL + "select word, class, freq from cl")
@@ -501,8 +628,17 @@ def cls_best_move(spark, d):
 
 @query(None)
 def cls_exchange(spark, d):
-    bi, cl = _classes(spark, d)
-    return A.exchanged(bi, cl, 8, 2)
+    """Classes of both sides after three full passes, or fewer if no word moves any more."""
+    out = None
+    for side in ("phrasec", "phrasee"):
+        part = A.exchanged(*_classes(spark, d, side, CLASSES), CLASSES, 3).select(F.lit(side).alias("side"), "word", "class", "freq")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(_CL.replace("phrasec", "phrasee") + "select word, class, freq from cl")
+def cls_init_target(spark, d):
+    return _classes(spark, d, "phrasee")[1]
 
 
 @query(_CL + "select word, class + 1 as class from cl")
