@@ -11,7 +11,8 @@ from tools.compare import plain
 
 ROOT = Path("/root/testdata/sf0.001")
 NAMES = """p1_found p1_loaded p4_found p4_key_counts p4_join_sums p4_join_by_order lm_gsb_2 lm_kn_table lm_mkn_std_3 ppl_gsb ppl_gt ppl_mkn scan_bitext sink_encoded_bitext dict_lm dict_decode corpus_split
-truecase_model join_lean_left join_block_right join_star except_keys phrase_extract phrase_best_align phrase_table phrase_gt phrase_mkn lex_prob_e2c dep_span_type ner_chunks ibm1_em_3 norm_ntable cls_best_move sym_union""".split()
+truecase_model join_lean_left join_block_right join_star except_keys phrase_extract phrase_best_align phrase_table phrase_gt phrase_mkn lex_prob_e2c dep_span_type ner_chunks ibm1_em_3 norm_ntable cls_best_move sym_union p1_rejects p1_reasons lm_kn_std_5 lm_mkn_table_5 ppl_kn ibm2_em_2 hmm_em_2 hmm_jumps_2 wam_best_links norm_d4table
+rule_extract_1 rule_fractional phrase_syntax_columns phrase_table_syntax presort_phrases truecase_apply clean_rejects dep_yield dep_path dep_stanford_parse rule_decode split_holdout sample_rows join_bloom cogroup_lists dict_encode_docs pair_pack""".split()
 
 
 @pytest.fixture(scope="module")
