@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,46 +65,56 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), none, pa.array(j, pa.int32()), none, pa.array(dense[i, j])], names=names)
 
 
-def pair_counts(df: DataFrame, left: str, right: str, weight: str, least: int | None = None) -> DataFrame:
-    """(a, b, s, total_a, total_b): summed weight of each pair of items (only those with s >= least, if it is given), and of either item over all records.
-
-    A record holds one item a side and a weight; records with a null among the three don't count, repeated records do. Sums are exact.
-    Items in at least 1/64 of the records (so at most 64 a side, which may be broadcast) are heavy: pairs of two heavy items
-    are counted in each task as bit rows and leave it as one small matrix; pairs of two rare items are counted by hash, and for mixed pairs the rare
-    item's records are looked up among the heavy codes. All partial sums meet in one shuffle in which a heavy item's text doesn't occur.
-    """
+def _paired(df: DataFrame, left: str, right: str, weight: str, least: int | None) -> tuple[DataFrame, Column]:
+    """(pairs of ``pair_counts``, total weight of all records). The input is read twice: once for the items of both sides, once for the pairs."""
     src = df.select(F.col(left).alias("a"), F.col(right).alias("b"), F.col(weight).cast("bigint").alias("weight")).where("a is not null and b is not null and weight is not null")
-    total = src.agg(F.count(F.lit(1))).scalar()
-
-    def side(k: str) -> tuple[DataFrame, DataFrame]:
-        t = src.groupBy(k).agg(F.sum("weight").alias(f"total_{k}"), F.count(F.lit(1)).alias("n"))
-        top = t.where(F.col("n") * HEAVY >= total)
-        heavy = top.select(F.col(k).alias(f"heavy_{k}"), F.col(f"total_{k}").alias(f"heavy_total_{k}"), (F.row_number().over(W.orderBy(k)) - 1).alias(f"code_{k}"))
-        return t.where(F.col("n") * HEAVY < total), heavy
-
-    (totals_a, heavy_a), (totals_b, heavy_b) = side("a"), side("b")
-    coded = src.join(F.broadcast(heavy_a), F.col("a") == F.col("heavy_a"), "left").join(F.broadcast(heavy_b), F.col("b") == F.col("heavy_b"), "left")
+    # both sides' items in one exchange, which everything below that needs totals reads again
+    both = src.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("item")), F.struct(F.lit(1).alias("side"), F.col("b").alias("item")))).alias("x"), "weight")
+    # the side comes out of the aggregation, so that no reader's filter gets below it; all readers take all columns, and the filter that joins would add to some of them stands for all
+    items = both.groupBy("x.side", "x.item").agg(F.max("x.side").alias("which"), F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).select("which", "item", "total", "n").where("item is not null and total is not null")
+    every = items.where("which = 0").agg(F.struct(F.sum("n").alias("records"), F.sum("total").alias("weights")).alias("x")).scalar()
+    records, weights = every["records"], every["weights"]
+    top = items.where(F.col("n") * HEAVY >= records).withColumn("code", F.row_number().over(W.partitionBy("which").orderBy("item")) - 1)
+    heavy = {k: F.broadcast(top.where(f"which = {side}").select(F.col("item").alias(f"heavy_{k}"), F.col("total").alias(f"heavy_total_{k}"), F.col("code").alias(f"code_{k}"))) for side, k in enumerate("ab")}
+    coded = src.join(heavy["a"], F.col("a") == F.col("heavy_a"), "left").join(heavy["b"], F.col("b") == F.col("heavy_b"), "left")
     parts = coded.select("a", "b", "weight", "code_a", "code_b").mapInArrow(_count, "code_a int, a string, code_b int, b string, s bigint")
     pairs = parts.groupBy("code_a", "a", "code_b", "b").agg(F.sum("s").alias("s"))
     if least is not None:
         pairs = pairs.where(F.col("s") >= least)
     # A heavy item's total comes from the broadcast table; its rows take a spread key that no total has, so they don't meet in one task.
-    spread = lambda k, o: F.when(F.col(f"code_{k}").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(o, f"code_{o}"), F.lit(4096)))
-    for k, o, totals, heavy in (("a", "b", totals_a, heavy_a), ("b", "a", totals_b, heavy_b)):
-        light = totals.select(F.col(k).alias("light"), F.col(f"total_{k}").alias("light_total"), F.lit(0).cast("bigint").alias("light_spread"))
-        pairs = pairs.withColumn("spread", spread(k, o).cast("bigint")).withColumn("at", F.coalesce(k, F.lit("")))
-        pairs = pairs.join(light, (F.col("at") == F.col("light")) & (F.col("spread") == F.col("light_spread")), "left")
+    light = items.where(F.col("n") * HEAVY < records)
+    for side, k, o in ((0, "a", "b"), (1, "b", "a")):
+        spread = F.when(F.col(f"code_{k}").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(o, f"code_{o}"), F.lit(4096)))
+        t = light.where(f"which = {side}").select(F.col("item").alias("light"), F.col("total").alias("light_total"), F.lit(0).cast("bigint").alias("light_spread"))
+        pairs = pairs.withColumn("spread", spread.cast("bigint")).withColumn("at", F.coalesce(k, F.lit("")))
+        pairs = pairs.join(t, (F.col("at") == F.col("light")) & (F.col("spread") == F.col("light_spread")), "left")
         pairs = pairs.withColumn(f"light_total_{k}", F.col("light_total")).drop("light", "light_total", "light_spread", "spread", "at")
-    pairs = pairs.join(F.broadcast(heavy_a), "code_a", "left").join(F.broadcast(heavy_b), "code_b", "left")
+    pairs = pairs.join(heavy["a"], "code_a", "left").join(heavy["b"], "code_b", "left")
     pick = lambda k: F.coalesce(f"light_total_{k}", f"heavy_total_{k}").alias(f"total_{k}")
-    return pairs.select(F.coalesce("a", "heavy_a").alias("a"), F.coalesce("b", "heavy_b").alias("b"), "s", pick("a"), pick("b"))
+    return pairs.select(F.coalesce("a", "heavy_a").alias("a"), F.coalesce("b", "heavy_b").alias("b"), "s", pick("a"), pick("b")), weights
+
+
+def pair_counts(df: DataFrame, left: str, right: str, weight: str, least: int | None = None) -> DataFrame:
+    """(a, b, s, total_a, total_b): summed weight of each pair of items (only those with s >= least, if it is given), and of either item over all records.
+
+    A record holds one item a side and a weight; records with a null among the three don't count, repeated records do. Sums are exact.
+    Items in at least 1/64 of the records (so at most 64 a side, which may be broadcast) are heavy: pairs of two heavy items
+    are counted in each task as bit rows and leave it as one small matrix; pairs of two rare items are counted by hash, and for mixed pairs the rare
+    item's records are looked up among the heavy codes. All partial sums meet in one shuffle in which a heavy item's text doesn't occur.
+    """
+    return _paired(df, left, right, weight, least)[0]
 
 
 def lift(df: DataFrame, left: str, right: str, weight: str, least: int | None = None, times: int = 0) -> DataFrame:
-    """(a, b, s, total_a, total_b, lift) of each pair; with ``least`` only of pairs with s >= least, with ``times`` only of those that stand together at least so often as by chance: s * total >= times * total_a * total_b, compared without rounding. The lift is null where a total is 0. Empty input has no pair."""
-    big = lambda c: F.col(c).cast("decimal(19,0)")
-    every = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).agg(F.sum(F.col(weight).cast("bigint"))).scalar()
-    p = pair_counts(df, left, right, weight, least).withColumn("total", every)
+    """(a, b, s, total_a, total_b, lift) of each pair; with ``least`` only of pairs with s >= least, with ``times`` only of those that stand together at least so often as by chance: s * total >= times * total_a * total_b. The lift is null where a total is 0. Empty input has no pair.
+
+    The comparison is exact where both products have at most 37 digits, as with sums up to 10^17; beyond it is made between doubles.
+    """
+    pairs, weights = _paired(df, left, right, weight, least)
+    p = pairs.withColumn("total", weights)
     if times:
-        p = p.where(big("s") * big("total") >= big("total_a") * big("total_b") * F.lit(times).cast("decimal(5,0)"))
+        big = lambda c: F.col(c).cast("decimal(19,0)")
+        exact = F.try_multiply(big("total_a") * big("total_b"), F.lit(times).cast("decimal(5,0)")).cast("decimal(38,0)")
+        near = F.col("s").cast("double") * F.col("total") >= F.col("total_a").cast("double") * F.col("total_b") * times
+        p = p.where(F.coalesce(big("s") * big("total") >= exact, near))
     return p.select("a", "b", "s", "total_a", "total_b", F.try_divide(F.try_divide(F.col("s").cast("double") * F.col("total"), F.col("total_a")), F.col("total_b")).alias("lift"))
