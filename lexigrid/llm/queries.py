@@ -59,8 +59,16 @@ def p6_ranked(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("grp").alias("phrasec"), F.col("score").alias("countpair"), F.col("tie").alias("phrasee"), F.col("id").alias("row_id"), F.col("place").cast("bigint").alias("place"))
 
 
+def _looks(spark: SparkSession, d: str) -> dict:
+    return {"n_gram.words": (table(spark, d, "n_gram"), "words", "row_id"), "phrase_combinete.phrasec": (table(spark, d, "phrase_combinete"), "phrasec", "row_id")}
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return same_look.look_alikes({"n_gram.words": (table(spark, d, "n_gram"), "words", "row_id"), "phrase_combinete.phrasec": (table(spark, d, "phrase_combinete"), "phrasec", "row_id")})
+    return same_look.look_alikes(_looks(spark, d))
+
+
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    return same_look.look_classes(_looks(spark, d)).select("field_name", F.col("id").alias("row_id"), "class_id", "texts")
 
 
 def p7_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +122,7 @@ def p10_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_rate, p3_found, p3_lift, p3_pairs, p5_found, p5_terms, p6_found, p6_ranked, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_edited, p9_recall, p10_found, p10_restored, p10_kinds, p10_accuracy)
+    for f in (p2_found, p2_rate, p3_found, p3_lift, p3_pairs, p5_found, p5_terms, p6_found, p6_ranked, p7_found, p7_classes, p7_forms, p8_ids, p8_round_trip, p9_found, p9_edited, p9_recall, p10_found, p10_restored, p10_kinds, p10_accuracy)
 }
 
 _PAIRS = """
