@@ -180,11 +180,16 @@ def mapping(spark: SparkSession) -> Mapping:
     return _mappings[key]
 
 
+def _kept(shipped) -> Transducer:
+    """The worker's transducer. A function of the module, so that what it keeps outlives the task: closures travel with copies of their globals."""
+    if not _made or _made[0][0] != shipped.id:
+        _made[:] = [(shipped.id, Transducer(shipped.value))]
+    return _made[0][1]
+
+
 def _forms(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _made or _made[0][0] != shipped.id:
-            _made[:] = [(shipped.id, Transducer(shipped.value))]
-        t = _made[0][1]
+        t = _kept(shipped)
         for b in batches:
             text = b.column(1)
             odd = pc.fill_null(pc.invert(pc.match_substring_regex(text, r"^[\x20-\x7e]*$")), False)
