@@ -333,7 +333,7 @@ def lean_replication_factor(spark, d):
 @query("select rec_id, words, num, cast(total as bigint) as total from ngram_join join (select words, sum(num) as total from n_gram group by 1) using (words)")
 def join_inner_history(spark, d):
     totals = table(spark, d, "n_gram").where("words is not null").groupBy("words").agg(F.sum("num").alias("total"))
-    return table(spark, d, "ngram_join").select("rec_id", "words", "num").join(totals, "words")
+    return J.lean_join(table(spark, d, "ngram_join").where("words is not null").select("rec_id", "words", "num"), totals, "words")
 
 
 @query("select distinct words from n_gram where words is not null and words not in (select words from ngram_join where words is not null)")

@@ -308,11 +308,11 @@ def rule_best_tags(spark, d):
     return X.best_tags(X.rules_with_syntax(_parsed(spark, d)))
 
 
-@query(_P + _LW + _PT.replace("select src, tgt, ", "select src, tgt, ", 1).replace(", 2.718::double as penalty", "").replace("select src, tgt, round(c / te, 6) as phi_rev, round(lex_rev, 6) as lex_rev, round(c / tc, 6) as phi, round(lex, 6) as lex", "select src || ' ||| ' || tgt || ' ||| ' || printf('%.9f %.9f %.9f %.9f', c / tc, lex, c / te, lex_rev) as phrase, row_number() over (order by src, tgt) as place"))
+@query(_P + _LW + _PT.replace("select src, tgt, ", "select src, tgt, ", 1).replace(", 2.718::double as penalty", "").replace("select src, tgt, round(c / te, 6) as phi_rev, round(lex_rev, 6) as lex_rev, round(c / tc, 6) as phi, round(lex, 6) as lex", "select src || ' ||| ' || tgt || ' ||| ' || printf('%.6f %.6f %.6f %.6f', round(c / tc, 6), round(lex, 6), round(c / te, 6), round(lex_rev, 6)) as phrase, row_number() over (order by src, tgt) as place"))
 def presort_phrases(spark, d):
     """Lines of a phrase table in the order of its pairs, scores in the order 2, 3, 0, 1."""
-    t = X.phrase_table(_kept(spark, d), *_lex(spark, d))
-    return X.presorted(t.select("src", "tgt", F.format_string("%.9f %.9f %.9f %.9f", "phi", "lex", "phi_rev", "lex_rev").alias("text")), "phrase")
+    t = _round(X.phrase_table(_kept(spark, d), *_lex(spark, d)))
+    return X.presorted(t.select("src", "tgt", F.format_string("%.6f %.6f %.6f %.6f", "phi", "lex", "phi_rev", "lex_rev").alias("text")), "phrase")
 
 
 @query(_P + f", rp as ({_RP}) select src || ' ||| ' || tgt || ' ||| ' || printf('%.6f %.6f %.6f %.6f %.6f %.6f', m, s, o, t, n, p) as reorder, row_number() over (order by src, tgt) as place from rp")
