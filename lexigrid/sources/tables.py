@@ -23,23 +23,35 @@ def text_lines(spark: SparkSession, path: str, parts: int = 0) -> DataFrame:
     return (at_least(lines, parts) if parts else lines).where(F.length("value") > 0)
 
 
-def bitext_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Aligned bitext with three or five tab-separated fields as typed columns.
-
-    Rows of fewer than three fields are left out; heads and tags are null in three-field rows.
-    """
+def _bitext(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.size(f) >= 3)
-    toks = lambda i: F.filter(F.split(F.trim(F.get(f, F.lit(i))), r"\s+"), lambda x: x != "")
-    return rows.select(
+    toks = lambda i: F.filter(F.split(F.trim(F.coalesce(F.get(f, F.lit(i)), F.lit(""))), r"\s+"), lambda x: x != "")
+    sound = lambda c, shape: ~F.exists(c, lambda x: ~x.rlike(shape))
+    reason = F.when(F.size(f) < 3, "fields").when(~sound(toks(2), r"^\d{1,9}-\d{1,9}$"), "links").when((F.size(f) >= 5) & ~sound(toks(3), r"^-?\d{1,9}$"), "heads")
+    return spark.read.text(path).select(
+        "value",
+        reason.alias("reason"),
         toks(0).alias("src"),
         toks(1).alias("tgt"),
-        F.transform(toks(2), lambda x: F.struct(F.split(x, "-")[0].cast("int").alias("s"), F.split(x, "-")[1].cast("int").alias("t"))).alias("links"),
-        F.when(F.size(f) >= 5, F.transform(toks(3), lambda x: x.cast("int"))).alias("heads"),
+        F.transform(toks(2), lambda x: F.struct(F.split_part(x, F.lit("-"), F.lit(1)).try_cast("int").alias("s"), F.split_part(x, F.lit("-"), F.lit(2)).try_cast("int").alias("t"))).alias("links"),
+        F.when(F.size(f) >= 5, F.transform(toks(3), lambda x: x.try_cast("int"))).alias("heads"),
         F.when(F.size(f) >= 5, toks(4)).alias("pos"),
     )
 
 
+def bitext_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Aligned bitext with three or five tab-separated fields as typed columns.
+
+    Rows of fewer than three fields or with links or heads that aren't numbers are left out, see ``bitext_rejects``; heads and tags are null in three-field rows.
+    """
+    return _bitext(spark, path).where("reason is null").drop("value", "reason")
+
+
+def bitext_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(value, reason): the rows that ``bitext_tsv`` leaves out; reason is fields, links or heads."""
+    return _bitext(spark, path).where("reason is not null").select("value", "reason")
+
+
 def write_text(df: DataFrame, path: str, codec: str = "gzip") -> None:
     """Single string column to compressed text, replacing what stands there."""
     df.write.mode("overwrite").option("compression", codec).text(path)

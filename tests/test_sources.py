@@ -104,3 +104,9 @@ def test_settings():
             config.loaded(bad)
     smooth = config.loaded("mt { allowSmoothing = true, allowKN = true }").mt
     assert smooth.smoothing() == "kn" and config.Translation().smoothing() == "none"
+
+
+def test_rows_left_out_have_a_reason(spark, tmp_path):
+    (tmp_path / "b.tsv").write_text("x\tX\t0-0\nx\tX\nx\tX\t0:0\nx\tX\t0-0\ta\tN\n\nx\tX\t\n")
+    assert sorted(r.reason for r in tables.bitext_rejects(spark, str(tmp_path / "b.tsv")).collect()) == ["fields", "fields", "heads", "links"]
+    assert sorted(len(r.links) for r in tables.bitext_tsv(spark, str(tmp_path / "b.tsv")).collect()) == [0, 1]
