@@ -101,8 +101,8 @@ def decode_rules(rules: DataFrame, dictionary: DataFrame, rule_id: str, toks: Co
 
 
 def length_verdict(src: Column, tgt: Column | None, most: int, ratio: float | None = None) -> Column:
-    """Why a pair (or, without a target, a text) is no use: "empty", "long" (more than ``most`` tokens a side), "ratio" (one side more than ``ratio`` times the other); null for a sound one."""
-    sides = [F.size(src)] + ([F.size(tgt)] if tgt is not None else [])
+    """Why a pair (or, without a target, a text) is no use: "empty", "long" (more than ``most`` tokens a side), "ratio" (one side more than ``ratio`` times the other); null for a sound one. A null side is an empty one."""
+    sides = [F.coalesce(F.size(x), F.lit(0)) for x in (src, tgt) if x is not None]
     lo, hi = (F.least(*sides), F.greatest(*sides)) if tgt is not None else (sides[0], sides[0])
     out = F.when(lo < 1, "empty").when(hi > most, "long")
     return out.when(hi > lo * ratio, "ratio") if ratio else out
